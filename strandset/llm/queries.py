@@ -1,7 +1,10 @@
 """Queries of the operators in this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import sharding
+from . import byte_bpe, sharding
 
-QUERIES = {"op8_hilbert_shards": sharding.op8_hilbert_shards}
+QUERIES = {
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op8_hilbert_shards": sharding.op8_hilbert_shards,
+}
 SQL: dict[str, str] = {}
