@@ -1,10 +1,11 @@
 """Queries of the operators in this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import byte_bpe, sharding
+from . import byte_bpe, quality, sharding
 
 QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
+    "op7_quality": quality.op7_quality,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
 }
 SQL: dict[str, str] = {}
