@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import documents, table
+from ._util import documents, table, written
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -164,19 +164,15 @@ def media_table(payloads: DataFrame) -> DataFrame:
     return payloads.select("n_bytes", "payload").mapInArrow(run, f"digest string, media binary, {FACTS}")
 
 
-def resolve(refs: DataFrame, media: DataFrame, salts: int = 32) -> DataFrame:
+def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
     """refs (any columns and digest) with media's other columns; refs without media keep nulls.
 
-    media is reduced to one row for each digest first. A digest that a third of all references name
-    would land in one task, so references are dealt over `salts` by a hash of their other columns
-    and each media row goes to every salt; select only what is needed from media beforehand.
+    media is reduced to one row for each digest and written, so that the join reads two plain
+    tables and adaptive execution can split a digest that a third of all references name. Select
+    only what is needed from media beforehand: other columns, payloads too, then never move.
     """
-    others = [c for c in refs.columns if c != "digest"] or ["digest"]
-    cols = [c for c in media.columns if c != "digest"]
-    one = media.groupBy("digest").agg(*(F.first(c).alias(c) for c in cols))
-    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = refs.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    return dealt.join(one, ["digest", "_salt"], "left").drop("_salt")
+    one = media.groupBy("digest").agg(*(F.first(c).alias(c) for c in media.columns if c != "digest"))
+    return refs.join(written(one), "digest", "left")
 
 
 def document_payloads(docs: DataFrame) -> DataFrame:
