@@ -1,13 +1,17 @@
 """Queries of the operators in this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import byte_bpe, media, quality, sharding, url_filter
+from . import byte_bpe, decontaminate, media, quality, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op7_quality": quality.op7_quality,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
     "op10_media": media.op10_media,
 }
-SQL: dict[str, str] = {"op1_url_filter": url_filter.sql()}
+
+
+def sql() -> dict[str, str]:
+    return {"op1_url_filter": url_filter.sql(), "op2_decontamination": decontaminate.sql()}
