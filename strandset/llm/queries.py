@@ -1,7 +1,7 @@
 """Queries of the operators in this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, media, quality, sharding, url_filter
+from . import byte_bpe, decontaminate, jaccard_join, media, quality, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op7_quality": quality.op7_quality,
     "op8_hilbert_shards": sharding.op8_hilbert_shards,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_media": media.op10_media,
 }
 
