@@ -1,11 +1,12 @@
 """Queries of the operators in this subpackage, and SQL for those that SQL can express."""
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, url_filter
+from . import byte_bpe, decontaminate, jaccard_join, licenses, line_dedup, media, quality, sharding, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_license_scan": licenses.op6_license_scan,
