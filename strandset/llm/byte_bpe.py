@@ -209,5 +209,21 @@ def digests(docs: DataFrame, file: str = DEFAULT_FILE) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and exact (whether the ids decode to the text's bytes) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(DEFAULT_FILE)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = part.column("text").to_pylist()
+                ids = [bpe.encode(t) for t in texts]
+                exact = [bpe.decode(x) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))

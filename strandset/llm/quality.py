@@ -18,12 +18,14 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import documents, table, word_hashes
 
+REJECT_BELOW = 0.7
 FEATURES = ["bytes", "letters", "upper", "digits", "marks", "exclaims", "bars", "stops", "spaces", "lines", "word_len", "long_words", "distinct_words", "top_word", "repeated_lines", "marked_words", "shouted_words", "non_ascii"]
 
 
@@ -211,18 +213,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier doesn't reject, with the columns they had."""
-    source = table(spark, sf_dir, "documents")
-    model = train(source, table(spark, sf_dir, "labels"))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
     @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
-
+    def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(sent.value.score(_matrix(texts)))
 
-    keep = scored(F.coalesce(F.col("text"), F.lit(""))) >= REJECT_BELOW
-    return docs.where(keep)
-
-
-REJECT_BELOW = 0.7
+    return docs.where(scored(F.coalesce(F.col("text"), F.lit(""))) >= REJECT_BELOW)
