@@ -1,5 +1,5 @@
-"""Queries over the driver's tables, one or more for each operator, and the same in ANSI SQL."""
+"""All queries over the driver's tables, one or more for each operator, and the same in ANSI SQL."""
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import pileup_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
