@@ -45,35 +45,55 @@ def integer_cost(het: list[list[float]] = HET, error: list[list[float]] = READ_E
     return F.least(*(root("a", r) + root("b", r) + _prior(r, h, ref) * 255 for r in S))
 
 
-def log_sum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    total = F.lit(0.0)
-    for t in terms:
-        total = total + F.exp(t - top)
-    return top + F.ln(total)
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), lambda v: f(v)), 1)
 
 
-def haplotype_logs(hap: str, error: list[list[float]] = READ_ERROR) -> list[Column]:
-    """ln P(reads of the haplotype | its symbol), for each symbol."""
+def log_sum(terms: Column) -> Column:
+    """ln of the sum of exponentials of an array."""
+    inner = lambda a: bound(F.array_max(a), lambda top: top + F.ln(F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))))
+    return bound(terms, inner)
+
+
+def constants(values) -> Column:
+    """A nested list of numbers as an array literal."""
+    return F.array(*map(constants, values)) if isinstance(values, (list, tuple)) else F.lit(float(values))
+
+
+def haplotype_logs(hap: str, error: list[list[float]] = READ_ERROR) -> Column:
+    """ln P(reads of the haplotype | its symbol): an array by symbol."""
     out = []
     for c in S:
         total = F.lit(0.0)
         for k in S:
             total = total + F.col(f"{hap}{k}") / 255.0 * F.lit(math.log(error[c][k]))
         out.append(total)
-    return out
+    return F.array(*out)
 
 
-def prior_logs(het: list[list[float]] = HET, ref: Column | None = None) -> list[Column]:
-    ref = F.col("ref_ch") if ref is None else ref
-    return [F.coalesce(F.element_at(F.array(*(F.lit(math.log(het[x][r])) for x in S)), (ref + 1).cast("int")), F.lit(-math.log(N_SYMBOLS))) for r in S]
+def prior_logs(het: list[list[float]] = HET) -> list[list[float]]:
+    """ln P(root symbol | reference symbol), and a flat row for an unknown reference."""
+    return [[math.log(het[x][r]) for r in S] for x in S] + [[-math.log(N_SYMBOLS)] * N_SYMBOLS]
+
+
+def pair_logs(het: list[list[float]] = HET) -> list[list[float]]:
+    """ln P(symbols i and j of the haplotypes | reference), the root summed out: rows as prior_logs, columns 5 i + j."""
+    return [[math.log(sum(math.exp(p[r]) * het[r][i] * het[r][j] for r in S)) for i in S for j in S] for p in prior_logs(het)]
+
+
+def row_of(table: list[list[float]], ref: Column) -> Column:
+    return F.element_at(constants(table), F.coalesce(ref, F.lit(N_SYMBOLS)).cast("int") + 1)
+
+
+def pair_terms(la: Column, lb: Column, ref: Column, het: list[list[float]] = HET) -> Column:
+    """ln P(reads, symbols i and j) for all 25 pairs."""
+    return F.transform(row_of(pair_logs(het), ref), lambda v, k: v + F.element_at(la, F.floor(k / N_SYMBOLS).cast("int") + 1) + F.element_at(lb, (k % N_SYMBOLS).cast("int") + 1))
 
 
 def exact_log(het: list[list[float]] = HET, error: list[list[float]] = READ_ERROR) -> Column:
     """ln P(reads at a site | bipartition), summed over root and haplotype symbols; reads columns a0..a4, b0..b4, ref_ch."""
-    a, b, p = haplotype_logs("a", error), haplotype_logs("b", error), prior_logs(het)
-    root = lambda logs, r: log_sum([logs[c] + F.lit(math.log(het[r][c])) for c in S])
-    return log_sum([root(a, r) + root(b, r) + p[r] for r in S])
+    return bound(haplotype_logs("a", error), lambda la: bound(haplotype_logs("b", error), lambda lb: log_sum(pair_terms(la, lb, F.col("ref_ch"), het))))
 
 
 def group_cost(sites: DataFrame, *keys: str) -> DataFrame:
