@@ -10,17 +10,21 @@ a run of windows with one minimiser is one short string. The steps:
    documents share costs a row for each group, not for each document).
 2. Each group sends the strings of its runs with shared minimisers, each distinct string once with
    the smallest and largest doc_id that has it in the group, to the task of their minimiser.
-3. There the distinct strings get one suffix array by two-stage sorting: suffixes smaller than
+3. There strings without a partner are set aside: strings that share a window share the 35 bytes
+   that begin or that end with the minimiser's. The others get one suffix array by two-stage
+   sorting: suffixes smaller than
    their successors are sorted directly (to 56 bytes), the others are induced by scanning the
    buckets of first bytes in order. Neighbours whose common prefix is 50 bytes or more hold one
    window; its smallest doc_id goes back to the groups.
 4. Each group marks the windows with a smaller doc_id in its documents.
 
 The steps are one plan; the documents are dealt to groups by one exchange that steps 2 and 4 use.
+What moves between tasks is packed into compressed blobs, many documents or strings in each.
 """
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,33 +38,45 @@ LENGTH = 50
 K = 20
 BLOCK = 1 << 20  # bytes of text hashed at a time
 FLUSH = 1 << 20  # minimisers held before they are sent
-CHUNK = 1 << 20  # bytes of a suffix array
+SLICES = 16  # for each shuffle partition; the strings of one slice are solved together
+SIDE = (LENGTH - K) // 2  # bytes before or after a minimiser that any window around it has
 GROUP = 1000  # documents, on average
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = 0xFF  # never a byte of UTF-8
 
 
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(_B), n, 1 << 64))
+
+
+def _rolling(b: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n bytes from each place of b on, 16 <= n < 64."""
+    h = {1: b.astype(np.uint64) + np.uint64(1)}
+    for k in (1, 2, 4, 8, 16):
+        if 2 * k <= n:
+            h[2 * k] = h[k][:-k] * _power(k) + h[k][k:]
+    out, have = None, 0
+    for k in (32, 16, 8, 4, 2, 1):
+        if k in h and have + k <= n:
+            out = h[k] if out is None else out[: len(b) - have - k + 1] * _power(k) + h[k][have:]
+            have += k
+    return out
+
+
 def _minimisers(b: np.ndarray) -> np.ndarray:
-    """For each window of LENGTH bytes, the smallest hash of the K-byte strings in it."""
-    def power(n: int) -> np.uint64:
-        return np.uint64(pow(int(_B), n, 1 << 64))
-
-    h = b.astype(np.uint64) + np.uint64(1)
-    h2 = h[:-1] * _B + h[1:]
-    h4 = h2[:-2] * power(2) + h2[2:]
-    h8 = h4[:-4] * power(4) + h4[4:]
-    h16 = h8[:-8] * power(8) + h8[8:]
-    h = h16[:-4] * power(4) + h4[16:]  # K = 16 + 4
+    """For each window of LENGTH bytes, the smallest hash (48 bits) of the K-byte strings in it, then its place (16 bits)."""
+    h = _rolling(b, K)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
+    h &= np.uint64(0xFFFFFFFFFFFF0000)
+    h |= np.arange(len(h), dtype=np.uint64) & np.uint64(0xFFFF)
     for step in (1, 2, 4, 8, LENGTH - K + 1 - 16):
         h = np.minimum(h[:-step], h[step:])
     return h
 
 
-def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index of the text, first window, windows, minimiser) of all runs, for blocks of texts in turn."""
+def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text's index, first window, windows, minimiser, its offset in the run) of all runs, for blocks of texts in turn."""
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -71,25 +87,30 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         i = j
         if not chosen:
             continue
-        lengths = np.array([len(texts[k]) for k in chosen])
-        ends = np.cumsum(lengths)
+        ends = np.cumsum([len(texts[k]) for k in chosen])
         m = _minimisers(np.frombuffer(b"".join(texts[k] for k in chosen), np.uint8))
         first = np.r_[0, ends[:-1]]
         new = np.ones(len(m), bool)
         np.not_equal(m[1:], m[:-1], out=new[1:])
         new[first] = True
         over = ends[:-1] - (LENGTH - 1)  # windows from here on run into the next text
-        inside = np.zeros(len(m) + 1, np.int8)
-        np.add.at(inside, over, 1)
-        np.add.at(inside, first[1:], -1)
-        crossing = np.cumsum(inside[:-1], dtype=np.int8) > 0
         new[over] = True
         start = np.flatnonzero(new)
         count = np.diff(np.r_[start, len(m)])
-        keep = ~crossing[start]
-        start, count = start[keep], count[keep]
         owner = np.searchsorted(ends, start, "right")
-        yield np.array(chosen)[owner], start - first[owner], count, m[start]
+        keep = start <= ends[owner] - LENGTH
+        start, count, owner = start[keep], count[keep], owner[keep]
+        value = m[start]
+        yield np.array(chosen)[owner], start - first[owner], count, value >> np.uint64(16), ((value - start.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def _packed(*things) -> bytes:
+    raw = pickle.dumps(things, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
 
 def two_stage_order(s: np.ndarray) -> np.ndarray:
@@ -186,21 +207,38 @@ def _texts(column) -> list[bytes]:
     return [x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def _shared(spark: SparkSession, rows: DataFrame, n_parts: int) -> DataFrame:
-    """grp, found: minimisers of the group that two documents or more have, anywhere."""
+def _split(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each 48-bit hash, by its upper bits."""
+    return (h >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)
+
+
+def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values."""
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]).tolist() if len(x) else []
+    return list(zip(at, [*at[1:], len(x)]))
+
+
+def _shared(rows: DataFrame, n_parts: int) -> DataFrame:
+    """grp, found: minimisers of the group that two documents or more have, anywhere.
+
+    A minimiser is sent as its bucket and 32 more bits. Two that agree in these may be taken for
+    one another, which only keeps a string longer than needed.
+    """
     buckets = max(4096, 64 * n_parts)
+    low = np.uint64(0xFFFFFFFF)
 
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         m, grp = (np.concatenate(x) for x in zip(*held))
         by = np.lexsort((grp, m))
         m, grp = m[by], grp[by]
         head = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (grp[1:] != grp[:-1])])
-        more = (np.diff(np.r_[head, len(m)]) > 1).astype(np.uint8)
-        m, grp = m[head], grp[head].astype(np.int32)
-        bucket = (m >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)  # rises with m
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        spans = list(zip(cuts, [*cuts[1:], len(m)]))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int64)), *(pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()) for x in (m, grp, more))], ["bucket", "m", "grp", "more"])
+        more = np.diff(np.r_[head, len(m)]) > 1
+        m, grp = m[head], grp[head]
+        grp = grp.astype(np.min_scalar_type(int(grp.max())))
+        bucket = _split(m, buckets)
+        short = (m & low).astype(np.uint32)
+        spans = _cuts(bucket)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in spans]].astype(np.int64)), pa.array([grp.dtype.itemsize] * len(spans), pa.int32()), *(pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()) for x in (short, grp)), pa.array([np.packbits(more[a:z]).tobytes() for a, z in spans], pa.binary())], ["bucket", "wide", "m", "grp", "more"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -208,7 +246,7 @@ def _shared(spark: SparkSession, rows: DataFrame, n_parts: int) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 ids, grps = part.column("doc_id"), part.column("grp").to_numpy()
-                for index, _, _, m in runs([t if d.is_valid else b"" for d, t in zip(ids, _texts(part.column("text")))]):
+                for index, _, _, m, _ in runs([t if d.is_valid else b"" for d, t in zip(ids, _texts(part.column("text")))]):
                     by = np.lexsort((m, index))
                     index, m = index[by], m[by]
                     head = np.r_[True, (m[1:] != m[:-1]) | (index[1:] != index[:-1])]
@@ -221,9 +259,9 @@ def _shared(spark: SparkSession, rows: DataFrame, n_parts: int) -> DataFrame:
             yield from send(held)
 
     def several(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        m = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
-        grp = np.frombuffer(b"".join(r[1] for r in rows), np.int32)
-        more = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        m = np.concatenate([np.frombuffer(r[2], np.uint32).astype(np.uint64) | np.uint64(r[0] << 32) for r in rows])
+        grp = np.concatenate([np.frombuffer(r[3], f"u{r[1]}").astype(np.int64) for r in rows])
+        more = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8))[: len(r[2]) // 4] for r in rows])
         by = np.argsort(m, kind="stable")
         m, grp, more = m[by], grp[by], more[by]
         head = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
@@ -233,106 +271,193 @@ def _shared(spark: SparkSession, rows: DataFrame, n_parts: int) -> DataFrame:
         by = np.argsort(grp, kind="stable")
         m, grp = m[by], grp[by]
         if len(m):
-            cuts = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(grp[cuts].astype(np.int64)), pa.array([m[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(m)])], pa.binary())], ["grp", "found"])
+            spans = _cuts(grp)
+            yield pa.RecordBatch.from_arrays([pa.array(grp[[a for a, _ in spans]]), pa.array([m[a:z].tobytes() for a, z in spans], pa.binary())], ["grp", "found"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:  # sorted by bucket: a new bucket may begin a new chunk
-            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if size >= 4 * FLUSH and bucket != last:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if size >= 4 * FLUSH and row[0] != last:
                     yield from several(held)
                     held, size = [], 0
-                held.append(tuple(row))
-                size += len(row[2])
-                last = bucket
+                held.append(row)
+                size += len(row[2]) // 4
+                last = row[0]
         if held:
             yield from several(held)
 
-    sent = rows.select("grp", "doc_id", "text").mapInArrow(collect, "bucket long, m binary, grp binary, more binary")
+    sent = rows.mapInArrow(collect, "bucket long, wide int, m binary, grp binary, more binary")
     return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "grp long, found binary")
 
 
-def _strings(dealt: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """bucket, grp, low, high, content: distinct strings of runs with a shared minimiser, for each group."""
+def _known(m: np.ndarray, buckets: int) -> np.ndarray:
+    """Minimisers as `_shared` names them."""
+    return _split(m, buckets) << np.uint64(32) | m & np.uint64(0xFFFFFFFF)
+
+
+def _among(values: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Places in m of what the sorted values hold."""
+    return np.flatnonzero(values[np.minimum(np.searchsorted(values, m), len(values) - 1)] == m) if len(values) else np.zeros(0, np.int64)
+
+
+def _group(blobs: pa.Table) -> tuple[list, list[bytes]]:
+    """doc_ids and texts of a group's blobs."""
+    ids, texts = [], []
+    for blob in blobs.column("blob").to_pylist():
+        i, t = _unpacked(blob)
+        ids += i
+        texts += t
+    return ids, texts
+
+
+def _dealt(rows: DataFrame, n_parts: int) -> DataFrame:
+    """grp, blob: documents packed by group, and dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp = batch.column("grp").to_numpy()
+            by = np.argsort(grp, kind="stable")
+            batch = batch.take(pa.array(by))
+            grp, ids = grp[by], batch.column("doc_id").to_pylist()
+            text, out = batch.column("text"), []
+            for a, z in _cuts(grp):
+                out.append((int(grp[a]), _packed(ids[a:z], _texts(text.slice(a, z - a)))))
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["grp", "blob"])
+
+    return rows.mapInArrow(run, "grp long, blob binary").repartition(n_parts, "grp")
+
+
+def _strings(dealt: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
+    """slice, grp, blob: distinct strings of runs with a shared minimiser, for each group."""
+    buckets, slices = max(4096, 64 * n_parts), SLICES * n_parts
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("m", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("content", pa.binary())])
+        names = ["slice", "grp", "blob"]
+        empty = pa.schema([("slice", pa.int64()), ("grp", pa.int64()), ("blob", pa.binary())]).empty_table()
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
+            return empty
         found = np.unique(np.frombuffer(b"".join(right.column("found").to_pylist()), np.uint64))
-        ids = left.column("doc_id").to_pylist()
-        texts = [t if d is not None else b"" for d, t in zip(ids, _texts(left.column("text")))]
+        ids, texts = _group(left)
         seen: dict[bytes, list[int]] = {}
-        for index, start, count, m in runs(texts):
-            at = np.searchsorted(found, m)
-            hit = np.flatnonzero(found[np.minimum(at, len(found) - 1)] == m)
-            for i, a, n, h in zip(index[hit].tolist(), start[hit].tolist(), count[hit].tolist(), m[hit].tolist()):
+        for index, start, count, m, at in runs([t if d is not None else b"" for d, t in zip(ids, texts)]):
+            hit = _among(found, _known(m, buckets))
+            for i, a, n, h, p in zip(index[hit].tolist(), start[hit].tolist(), count[hit].tolist(), m[hit].tolist(), at[hit].tolist()):
                 content, d = texts[i][a : a + n + LENGTH - 1], ids[i]
                 known = seen.get(content)
                 if known is None:
-                    seen[content] = [h, d, d]
-                elif d < known[1]:
-                    known[1] = d
-                elif d > known[2]:
+                    seen[content] = [h, p, d, d]
+                elif d < known[2]:
                     known[2] = d
-        m = np.array([v[0] for v in seen.values()], np.uint64)
-        bucket = ((m >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        grp = left.column("grp")[0].as_py()
-        return pa.Table.from_arrays([pa.array(bucket), pa.array(np.full(len(m), grp)), pa.array(m.astype(np.int64)), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[2] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.binary())], schema=schema)
-
-    return dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(run, "bucket long, grp long, m long, low long, high long, content binary")
+                elif d > known[3]:
+                    known[3] = d
+        if not seen:
+            return empty
+        m, p, low, high = (np.array(x) for x in zip(*seen.values()))
+        m = m.astype(np.uint64)
+        content = list(seen)
+        by = np.argsort(m, kind="stable")
+        where = _split(m[by], slices)
+        grp, out = left.column("grp")[0].as_py(), []
+        for a, z in _cuts(where):
+            k = by[a:z]
+            mine = [content[i] for i in k.tolist()]
+            out.append((int(where[a]), _packed(b"".join(mine), np.array(list(map(len, mine)), np.uint32), m[k], p[k].astype(np.uint16), low[k], high[k] - low[k])))
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([grp] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names)
+
+    return dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(run, "slice long, grp long, blob binary")
+
+
+def _partnered(strings: list[bytes], at: np.ndarray) -> np.ndarray:
+    """Which strings may share a window with another one; `at` is where each string's minimiser begins."""
+    lengths = np.array(list(map(len, strings)))
+    offset = np.r_[0, np.cumsum(lengths)[:-1]]
+    h = _rolling(np.frombuffer(b"".join(strings), np.uint8), K + SIDE)
+    out = np.zeros(len(strings), bool)
+    for shift in (0, -SIDE):
+        has = np.flatnonzero((at + shift >= 0) & (at + shift + K + SIDE <= lengths))
+        if len(has):
+            _, code, n = np.unique(h[offset[has] + at[has] + shift], return_inverse=True, return_counts=True)
+            out[has] |= n[code] > 1
+    return out
 
 
 def _marks(strings: DataFrame, n_parts: int) -> DataFrame:
-    """grp, m, key, starts, holders: runs of windows of a string with one smallest doc_id below the group's largest."""
+    """grp, blob: for strings of the group, runs of windows with one smallest doc_id, below the group's largest somewhere."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for _, _, low, _, content in rows:
-            if low < known.get(content, low + 1):
-                known[content] = low
-        least = dict(zip(known, first_holders(list(known), np.array(list(known.values()), np.int64))))
+        lowest: dict[bytes, int] = {}
+        places: dict[bytes, int] = {}
+        parts = []
+        for grp, blob in rows:
+            joined, sizes, m, p, low, extra = _unpacked(blob)
+            ends = np.cumsum(sizes.astype(np.int64)).tolist()
+            mine = [joined[a:z] for a, z in zip([0, *ends], ends)]
+            for content, d, at in zip(mine, low.tolist(), p.tolist()):
+                if d < lowest.get(content, d + 1):
+                    lowest[content] = d
+                    places[content] = at
+            parts.append((grp, mine, m, low + extra))
+        every = list(lowest)
+        paired = [every[i] for i in np.flatnonzero(_partnered(every, np.array(list(places.values())))).tolist()]
+        windows = dict(zip(paired, first_holders(paired, np.array([lowest[x] for x in paired], np.int64)))) if paired else {}
         out = []
-        for grp, m, _, high, content in rows:
-            w = least[content]
-            if (w < high).any():
-                cuts = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-                out.append((grp, m, _key(content), cuts.astype(np.int32).tobytes(), w[cuts].tobytes()))
+        for grp, mine, m, high in parts:
+            kept, keys, cuts, holders = [], [], [], []
+            for i, (content, top) in enumerate(zip(mine, high.tolist())):
+                w = windows.get(content)
+                if w is None:
+                    if lowest[content] < top:
+                        kept.append(i)
+                        keys.append(_key(content))
+                        cuts.append([0])
+                        holders.append([lowest[content]])
+                elif (w < top).any():
+                    head = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                    kept.append(i)
+                    keys.append(_key(content))
+                    cuts.append(head.tolist())
+                    holders.append(w[head].tolist())
+            if kept:
+                out.append((grp, _packed(m[kept], np.array(keys, np.int64), np.array(list(map(len, cuts)), np.uint32), np.array([x for c in cuts for x in c], np.uint32), np.array([x for c in holders for x in c], np.int64))))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["grp", "m", "key", "starts", "holders"])
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["grp", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, last = [], None
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if size >= CHUNK and bucket != last:
+            for part, *row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held and part != last:
                     yield from solve(held)
-                    held, size = [], 0
+                    held = []
                 held.append(tuple(row))
-                size += len(row[-1])
-                last = bucket
+                last = part
         if held:
             yield from solve(held)
 
-    return strings.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "grp long, m long, key long, starts binary, holders binary")
+    return strings.repartition(n_parts, "slice").sortWithinPartitions("slice").mapInArrow(run, "grp long, blob binary")
 
 
 def _covered(ids: list, texts: list[bytes], marks: pa.Table) -> list[list[tuple[int, int]]]:
     """Removed spans (from, to) of each text, maximal and in order."""
     spans: list[list[tuple[int, int]]] = [[] for _ in ids]
-    if not marks.num_rows:
+    found, by_key = [], {}
+    for blob in marks.column("blob").to_pylist():
+        m, keys, n, cuts, holders = _unpacked(blob)
+        found.append(m)
+        ends = np.cumsum(n.astype(np.int64)).tolist()
+        cuts, holders = cuts.tolist(), holders.tolist()
+        by_key.update((k, (cuts[a:z], holders[a:z])) for k, a, z in zip(keys.tolist(), [0, *ends], ends))
+    if not by_key:
         return spans
-    found = np.unique(marks.column("m").to_numpy().astype(np.int64).view(np.uint64))
-    by_key = dict(zip(marks.column("key").to_pylist(), zip(marks.column("starts").to_pylist(), marks.column("holders").to_pylist())))
-    for index, start, count, m in runs([t if d is not None else b"" for d, t in zip(ids, texts)]):
-        at = np.searchsorted(found, m)
-        hit = np.flatnonzero(found[np.minimum(at, len(found) - 1)] == m)
+    found = np.unique(np.concatenate(found))
+    for index, start, count, m, _ in runs([t if d is not None else b"" for d, t in zip(ids, texts)]):
+        hit = _among(found, m)
         for i, a, n in zip(index[hit].tolist(), start[hit].tolist(), count[hit].tolist()):
             mark = by_key.get(_key(texts[i][a : a + n + LENGTH - 1]))
             if mark is None:
                 continue
-            cuts, holders = np.frombuffer(mark[0], np.int32).tolist(), np.frombuffer(mark[1], np.int64).tolist()
+            cuts, holders = mark
             for lo, hi, holder in zip(cuts, [*cuts[1:], n], holders):
                 if holder < ids[i]:
                     lo, hi = a + lo, a + hi - 1 + LENGTH
@@ -351,17 +476,14 @@ def suffix_dedup(docs: DataFrame, group: int = GROUP, digest: bool = False) -> D
     doc_id for none: they stay whole. Null texts are empty ones. Texts below 50 bytes stay whole.
     A removal may cut a character, so kept is binary.
     """
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
-    rows = documents(docs)
+    n_parts = partitions(docs.sparkSession)
     groups = max(1, -(-docs.count() // group))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long").alias("grp"), "doc_id", "text")
-    shared = _shared(spark, rows, n_parts)
-    dealt = rows.repartition(n_parts, "grp")
-    marks = _marks(_strings(dealt, shared, max(4096, 64 * n_parts)), n_parts)
+    rows = documents(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long").alias("grp"), "doc_id", "text")
+    dealt = _dealt(rows, n_parts)
+    marks = _marks(_strings(dealt, _shared(rows, n_parts), n_parts), n_parts)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = left.column("doc_id").to_pylist(), _texts(left.column("text"))
+        ids, texts = _group(left)
         removed, kept, n = [], [], []
         for text, spans in zip(texts, _covered(ids, texts, right)):
             n.append(len(spans))
