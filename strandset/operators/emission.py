@@ -34,7 +34,8 @@ def _read_cost(hap: str, c: int, error: list[list[int]]) -> Column:
 
 def _prior(r: int, het: list[list[int]], ref: Column) -> Column:
     """Scaled prior of root symbol r; flat where the reference is unknown."""
-    return F.coalesce(F.element_at(F.array(*(F.lit(het[x][r]) for x in S)), (ref + 1).cast("int")), F.lit(math.floor(SCALE * math.log(N_SYMBOLS) / LOG_FLOOR + 0.5))).cast("long")
+    flat = math.floor(SCALE * math.log(N_SYMBOLS) / LOG_FLOOR + 0.5)
+    return F.element_at(F.array(*(F.lit(het[x][r]) for x in S), F.lit(flat)), F.coalesce(ref, F.lit(N_SYMBOLS)).cast("int") + 1).cast("long")
 
 
 def integer_cost(het: list[list[float]] = HET, error: list[list[float]] = READ_ERROR, ref: Column | None = None) -> Column:
