@@ -80,8 +80,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item, with the columns they had."""
-    dirty = contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, docs["doc_id"] == F.col("_dirty"), "left_anti")
+    dirty = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(dirty, "doc_id", "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,8 +321,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that with the smallest doc_id, with the columns docs had."""
-    found = near_duplicates(docs).where("class_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("_copy"), "left_anti")
+    found = near_duplicates(docs).where("class_id is not null and doc_id <> class_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,9 +89,9 @@ def common_lines(a: list[int], sizes: list[int], b: list[int], min_block: int =
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs' own columns and _id, _row (tells rows of one doc_id apart), _lines."""
+    """_id, _row (tells rows of one doc_id apart), _lines, and _doc: the row itself, in a struct as its names may be ours."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.split(text, "\n").alias("_lines"))
+    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.split(text, "\n").alias("_lines"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
 
 
 def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, min_block: int = MIN_BLOCK) -> DataFrame:
@@ -124,14 +124,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_block: int = MIN
     none; these stay as they are. Repeated lines inside a document stay. A document that an earlier
     one holds whole is left with an empty text. Columns named text, n_lines or n_removed are replaced.
     """
-    gone = deletions(docs, min_chars, min_block).select(F.col("_id").alias("_id2"), F.col("_row").alias("_row2"), "gone")
-    rows = _keyed(docs.drop("n_lines", "n_removed")).drop("_lines")
-    out = rows.join(gone, (F.col("_id") == F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+    gone = deletions(docs, min_chars, min_block)
+    rows = _keyed(docs).drop("_lines").join(gone, ["_id", "_row"], "left")
+    old = F.col("_doc.text").cast("string")
+    lines = F.split(F.coalesce(old, F.lit("")), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*(text.alias(c) if c == "text" else F.col(c) for c in names), F.size(lines).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in names), F.size(lines).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

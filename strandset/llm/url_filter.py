@@ -28,7 +28,7 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # A small labelled table, made by rule: hosts with a word of either list, paths of either kind.
 BLOCKED_WORDS = "ads-track ad-server banner-ads click-track popup-ads adult-x adult-cam porn-tube sex-chat nude-pics casino-win casino-bet free-bets poker-room slot-spins lottery-win cheap-pills pills-shop viagra-sale spam-farm spam-link malware-drop phish-login crack-keys warez-zone".split()
-ALLOWED_WORDS = "news journal library museum school college garden kitchen travel science history weather music health forum archive wiki docs research city market the-river thther thththe tionsh tionble theres thatand".split()
+ALLOWED_WORDS = "news journal library museum school college garden kitchen travel science history weather music health forum archive wiki docs research city market the-river thther thththe tionsh tionble theres thatand flower-shop reading-room link-list train-track key-maker farm-life web-server picture-book click-clock pop-music".split()
 _SUFFIXES = ("example.com", "example.net", "example.org")
 _ALLOWED_PATHS = ("/en/12", "/de/345.html", "/fr/6/", "/es/789")  # pages of either kind
 _BLOCKED_PATHS = (*_ALLOWED_PATHS, "/win-free-bets", "/adult-x/3", "/track/click")
@@ -61,22 +61,27 @@ def _slots(host: str, path: str) -> list[int]:
 
 
 @lru_cache(maxsize=8)
-def train(rows: tuple[tuple[str, int], ...] | None = None, max_rows: int = 10_000, steps: int = 200, rate: float = 1.0, decay: float = 1e-3, prior: float = -2.0) -> tuple[int, tuple[int, ...]]:
+def train(rows: tuple[tuple[str, int], ...] | None = None, max_rows: int = 10_000, steps: int = 300, rate: float = 2.0, decay: float = 1e-5, prior: float = -2.0) -> tuple[int, tuple[int, ...]]:
     """(bias, weights) in millionths, by gradient descent on at most max_rows labelled rows; features count n-grams.
 
-    The bias is the log-odds of a URL of which nothing is known, and isn't learned: a table of as
-    many blocked as allowed URLs doesn't show how rare the former are.
+    The bias is the log-odds of a URL of which nothing is known, and isn't learned: the table doesn't
+    show how rare blocked URLs are. They are weighted to be as rare as the bias says, so n-grams that
+    both kinds share need no weight.
     """
     rows = (tuple(labelled_urls()) if rows is None else rows)[:max_rows]
     x = np.zeros((len(rows), 2 * SLOTS))
     for i, (url, _) in enumerate(rows):
         np.add.at(x[i], _slots(*split_url(url)), 1 / SCALE)
-    y = np.array([label for _, label in rows], float)
-    w = np.zeros(2 * SLOTS)
+    used = np.flatnonzero(x.any(0)) if len(rows) else np.zeros(0, np.int64)
+    x, y = x[:, used], np.array([label for _, label in rows], float)
+    weight = np.where(y == 1, np.exp(prior) * max(1, (y == 0).sum()) / max(1, (y == 1).sum()), 1.0)
+    w = np.zeros(len(used))
     for _ in range(steps if len(rows) else 0):
         p = 1 / (1 + np.exp(-(x @ w + prior)))
-        w -= rate * (4 * x.T @ (p - y) / len(y) + decay * w)
-    return round(prior * UNIT), tuple(int(v) for v in np.round(w / SCALE * UNIT))
+        w -= rate * (8 * x.T @ (weight * (p - y)) / weight.sum() + decay * w)
+    every = np.zeros(2 * SLOTS)
+    every[used] = w / SCALE
+    return round(prior * UNIT), tuple(int(v) for v in np.round(every * UNIT))
 
 
 def _sum_of_weights(s: Column, weights: tuple[int, ...]) -> Column:
