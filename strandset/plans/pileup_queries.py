@@ -13,7 +13,13 @@ from .registry import query
 
 K = range(codes.N_SYMBOLS)
 HET, ERR = pileup.HET, pileup.READ_ERROR
-HAP1 = F.col("h") % 2 == 0
+
+
+def hap1():
+    """Reads of the first haplotype, by construction of the projection."""
+    return F.col("h") % 2 == 0
+
+
 WO = with_(READS, OBS)
 PIV = "piv AS (SELECT contig, pos, " + ", ".join(f"CAST(sum(CASE WHEN ch = {c} THEN w ELSE 0 END) AS BIGINT) AS n{c}" for c in K) + " FROM obs GROUP BY 1, 2)"
 LONG = "lng AS (" + " UNION ALL ".join(f"SELECT contig, pos, {c} AS ch, n{c} AS weight FROM piv" for c in K) + ")"
@@ -118,7 +124,7 @@ AB = "ab AS (SELECT contig, pos, " + ", ".join(f"CAST(sum(CASE WHEN {on} AND ch
 
 
 def _sites(spark, d):
-    return reference(emission.both_haplotypes(_obs(spark, d), HAP1))
+    return reference(emission.both_haplotypes(_obs(spark, d), hap1()))
 
 
 def _cost_sql() -> str:
@@ -187,7 +193,7 @@ def genotype_likelihoods(spark, d):
     SELECT read_id, was <> (CASE WHEN was THEN lp2 > lp1 + 1e-6 ELSE lp1 > lp2 + 1e-6 END) AS "first", CASE WHEN was THEN lp2 > lp1 + 1e-6 ELSE lp1 > lp2 + 1e-6 END AS moved FROM sc""")
 def refine_one_round(spark, d):
     obs = _obs(spark, d)
-    return genotype.refined(obs, genotype.calls(reference(emission.both_haplotypes(obs, HAP1))), HAP1, margin=1e-6)
+    return genotype.refined(obs, genotype.calls(reference(emission.both_haplotypes(obs, hap1()))), hap1(), margin=1e-6)
 
 
 @query(with_(READS, OBS, AB, LOGS, ROOTS, TOTAL, CALLS) + "SELECT contig, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN h1 = h2 THEN 1.0 ELSE 0.0 END), 9) AS identity, CAST(sum(CASE WHEN h1 <> h2 AND (h1 = 4 OR h2 = 4) THEN 1 ELSE 0 END) AS BIGINT) AS gap_mismatches FROM cl GROUP BY 1")
@@ -199,7 +205,7 @@ def hap_identity(spark, d):
 @query(with_(READS, OBS, AB, LOGS, ROOTS, TOTAL, CALLS) + "SELECT contig, h % 2 AS hap, round(sum(CASE WHEN ch = CASE WHEN h % 2 = 0 THEN h1 ELSE h2 END THEN w ELSE 0 END) / 255.0 / (sum(w) / 255.0), 9) AS identity FROM obs JOIN cl USING (contig, pos) GROUP BY 1, 2")
 def expected_identity(spark, d):
     obs = _obs(spark, d)
-    c = genotype.calls(reference(emission.both_haplotypes(obs, HAP1))).select("contig", "pos", "h1", "h2")
+    c = genotype.calls(reference(emission.both_haplotypes(obs, hap1()))).select("contig", "pos", "h1", "h2")
     own = F.when(F.col("h") % 2 == 0, F.col("h1")).otherwise(F.col("h2"))
     return obs.join(c, ["contig", "pos"]).groupBy("contig", (F.col("h") % 2).alias("hap")).agg(F.round(F.sum(F.when(F.col("ch") == own, F.col("w")).otherwise(F.lit(0))) / 255.0 / (F.sum("w") / 255.0), 9).alias("identity"))
 
