@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._util import documents, table
 
-PIECE_CACHE = 600_000  # distinct pieces a worker remembers
-PAIR_CACHE = 1_000_000  # pairs of tokens
+PIECE_CACHE = 200_000  # distinct pieces a worker remembers, and as many of those used before them
+PAIR_CACHE = 200_000  # pairs of tokens
 LONG_PIECE = 256  # longer ones are not remembered
 
 
@@ -128,7 +128,7 @@ class ByteBPE:
 
     def encode(self, text: str) -> list[int]:
         if len(self.known) > PIECE_CACHE:
-            self.known.clear()
+            self.known.age()
         if len(self.fits) > PAIR_CACHE:
             self.fits.clear()
         return list(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text))))
@@ -138,11 +138,20 @@ class ByteBPE:
 
 
 class _Pieces(dict):
+    """Ids of pieces in two generations: what is used again moves to the young one, the old one is dropped in time."""
+
     def __init__(self, bpe: ByteBPE):
         self.bpe = bpe
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))
         if len(piece) <= LONG_PIECE:
             self[piece] = ids
         return ids

@@ -150,12 +150,11 @@ def _met_before(a: np.ndarray, b: np.ndarray, run: int) -> np.ndarray:
 def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
     """Rows of one task after another; rows are sorted by task."""
     group: list[dict] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if group and group[-1]["task"] != row["task"]:
-                yield group
-                group = []
-            group.append(row)
+    for row in (row for batch in batches for i in range(0, batch.num_rows, 256) for row in batch.slice(i, 256).to_pylist()):
+        if group and group[-1]["task"] != row["task"]:
+            yield group
+            group = []
+        group.append(row)
     if group:
         yield group
 
