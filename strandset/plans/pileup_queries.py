@@ -228,3 +228,50 @@ def bit_slice_counts(spark, d):
     """Weights of haplotype 1 by bit plane; their sum over planes is the weight itself."""
     obs = _obs(spark, d).where("contig like 'A%' and h % 2 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("shiftright(w, k) & 1 = 1")
     return obs.groupBy("contig", "pos", "ch", "k").agg(F.count(F.lit(1)).alias("n")).select("contig", "pos", "ch", "k", F.expr("shiftleft(n, k)").alias("part"))
+
+
+# Synthetic CIGAR strings from whole columns of lineitem.
+CIG = "concat(2 + l_linenumber, 'S', l_quantity_i, 'M', 1 + l_suppkey % 5, 'I', 1 + l_partkey % 9, 'M', 1 + l_orderkey % 4, 'D', 3 + l_suppkey % 3, '=', CASE WHEN l_orderkey % 2 = 0 THEN '2X' ELSE '' END, 1 + l_partkey % 6, 'S')"
+CIGS = f"cg AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity_i, {CIG} AS cigar FROM (SELECT *, CAST(l_quantity AS INTEGER) AS l_quantity_i FROM lineitem))"
+
+
+def _cigars(spark, d):
+    from strandset.sources.driver_tables import table
+
+    t = table(spark, d, "lineitem").withColumn("l_quantity_i", F.col("l_quantity").cast("int"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity_i", F.expr(CIG).alias("cigar"))
+
+
+@query("WITH " + CIGS + " SELECT cigar, CAST(count(*) AS BIGINT) AS n, any_value(1 + l_suppkey % 5) AS inserted, any_value(1 + l_orderkey % 4) AS deleted, any_value(2 + l_linenumber) AS lead, any_value(1 + l_partkey % 6) AS tail FROM cg GROUP BY 1")
+def cigar_indels(spark, d):
+    from strandset.operators import align
+
+    c = _cigars(spark, d).groupBy("cigar").agg(F.count(F.lit(1)).alias("n"))
+    ops = align.cigar_ops(F.col("cigar"))
+    return c.select("cigar", "n", align.op_sum(ops, "I").alias("inserted"), align.op_sum(ops, "D").alias("deleted"), align.clip(ops, True).alias("lead"), align.clip(ops, False).alias("tail"))
+
+
+@query("WITH " + CIGS + " SELECT cigar, any_value(l_quantity_i + 1 + l_partkey % 9 + 1 + l_orderkey % 4 + 3 + l_suppkey % 3 + CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END) AS on_reference, any_value(2 + l_linenumber + l_quantity_i + 1 + l_suppkey % 5 + 1 + l_partkey % 9 + 3 + l_suppkey % 3 + CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END + 1 + l_partkey % 6) AS on_read FROM cg GROUP BY 1")
+def cigar_ref_length(spark, d):
+    from strandset.operators import align
+
+    ops = align.cigar_ops(F.col("cigar"))
+    return _cigars(spark, d).select("cigar").distinct().select("cigar", align.reference_length(ops).alias("on_reference"), align.query_length(ops).alias("on_read"))
+
+
+@query(WO + """, ids AS (SELECT contig, read_id, row_number() OVER (PARTITION BY contig ORDER BY read_id) AS n FROM (SELECT DISTINCT contig, read_id FROM obs)), few AS (SELECT obs.* FROM obs JOIN ids USING (contig, read_id) WHERE n <= 100)
+    SELECT a.contig, a.read_id AS read_a, b.read_id AS read_b, CAST(count(DISTINCT a.pos) AS BIGINT) AS shared, round(sum(CASE WHEN a.ch = b.ch THEN a.w * b.w ELSE 0 END) / 65025.0 / count(DISTINCT a.pos), 9) AS identity FROM few a JOIN few b ON a.contig = b.contig AND a.pos = b.pos AND a.read_id < b.read_id GROUP BY 1, 2, 3""")
+def pairwise_identity(spark, d):
+    """The report's limit is the feature: the first hundred reads of a contig."""
+    from strandset.operators import align
+
+    return align.pairwise_identity(_obs(spark, d), 100)
+
+
+@query()
+def refine_rounds(spark, d):
+    """Up to three rounds of moving reads to the likelier haplotype."""
+    obs = _obs(spark, d)
+    start = reads(spark, d).select("read_id", hap1().alias("first"))
+    sites = lambda mine: genotype.calls(reference(emission.both_haplotypes(mine, F.col("first"))))
+    return genotype.refine(obs, sites, start, rounds=3)

@@ -232,3 +232,10 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("sc").collect())) == sorted(map(tuple, pileup.site_counts(obs).collect()))
+
+
+def test_chunk_tags(spark):
+    a = spark.createDataFrame([("r1", {"ht": "h1,p9,r0,l5;h0,p0,r0,l0;h2,p20,r5,l3"}), ("r2", {"x": "y"})], "read_id string, tags map<string,string>")
+    assert sorted(map(tuple, stitch.chunk_tags(a).collect())) == [("r1", 9, 1, 0, 5), ("r1", 20, 2, 5, 3)]
+    with pytest.raises(Exception, match="malformed"):
+        stitch.chunk_tags(spark.createDataFrame([("r", {"ht": "nonsense"})], "read_id string, tags map<string,string>")).collect()
