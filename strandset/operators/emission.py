@@ -89,7 +89,8 @@ def row_of(table: list[list[float]], ref: Column) -> Column:
 
 def pair_terms(la: Column, lb: Column, ref: Column, het: list[list[float]] = HET) -> Column:
     """ln P(reads, symbols i and j) for all 25 pairs."""
-    return F.transform(row_of(pair_logs(het), ref), lambda v, k: v + F.element_at(la, F.floor(k / N_SYMBOLS).cast("int") + 1) + F.element_at(lb, (k % N_SYMBOLS).cast("int") + 1))
+    terms = lambda a, b: F.transform(row_of(pair_logs(het), ref), lambda v, k: v + F.element_at(a, F.floor(k / N_SYMBOLS).cast("int") + 1) + F.element_at(b, (k % N_SYMBOLS).cast("int") + 1))
+    return bound(la, lambda a: bound(lb, lambda b: terms(a, b)))
 
 
 def exact_log(het: list[list[float]] = HET, error: list[list[float]] = READ_ERROR) -> Column:
