@@ -9,7 +9,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,37 +169,41 @@ def with_posteriors(aligned: DataFrame, posteriors: DataFrame, only: bool = Fals
 class Params:
     """Model parameters; a key that isn't one raises."""
 
-    alphabet: list = field(default_factory=lambda: ["Aa", "Cc", "Gg", "Tt", "-"])
-    wildcard: str = "Nn"
+    # The keys of parameter files and the defaults of keys that a file leaves out.
+    alphabet: list | None = None
+    wildcard: str | None = None
     haplotypeSubstitutionModel: list | None = None
     readErrorModel: list | None = None
     maxNotSumTransitions: bool = True
-    maxPartitionsInAColumn: int = 100
-    minPartitionsInAColumn: int = 100
-    maxCoverageDepth: int = 64
+    minPartitionsInAColumn: int = 50
+    maxPartitionsInAColumn: int = 200
     minPosteriorProbabilityForPartition: float = 0.001
-    minReadCoverageToSupportPhasingBetweenHeterozygousSites: int = 2
-    onDiagonalReadErrorPseudoCount: float = 1.0
-    offDiagonalReadErrorPseudoCount: float = 1.0
+    maxCoverageDepth: int = 64
+    minReadCoverageToSupportPhasingBetweenHeterozygousSites: int = 0
+    onDiagonalReadErrorPseudoCount: float = 1
+    offDiagonalReadErrorPseudoCount: float = 1
     trainingIterations: int = 0
     filterBadReads: bool = False
     filterMatchThreshold: float = 0.9
-    useReferencePrior: bool = True
+    useReferencePrior: bool = False
     includeInvertedPartitions: bool = True
     filterLikelyHomozygousSites: bool = False
-    minSecondMostFrequentBaseFilter: float = 0.0
-    minSecondMostFrequentBaseLogProbFilter: float = 0.0
+    minSecondMostFrequentBaseFilter: float = 2
+    minSecondMostFrequentBaseLogProbFilter: float = 0
     gapCharactersForDeletions: bool = True
     filterAReadWithAnyOneOfTheseSamFlagsSet: int = 0
     mapqFilter: int = 0
     estimateReadErrorProbsEmpirically: bool = False
-    roundsOfIterativeRefinement: int = 10
+    roundsOfIterativeRefinement: int = 0
     writeGVCF: bool = False
-    verbosity: int = 0
+    writeSplitSams: bool = True
+    writeUnifiedSam: bool = True
+    verbose: bool = False
 
     @classmethod
     def from_json(cls, text: str) -> Params:
         got = json.loads(text.replace(",}", "}").replace(",\n}", "\n}"))
+        got.pop("compareVCFs", None)  # an old key without a meaning
         names = {f.name for f in fields(cls)}
         if extra := sorted(set(got) - names):
             raise ValueError(f"unknown parameters: {', '.join(extra)}")

@@ -152,6 +152,8 @@ def test_phasing_against_all_bipartitions():
         assert got.cost == min(c for c, _ in every) == cost({r: got.haplotype[r] == 1 for r in used})
         assert all(-1e-9 <= p <= 1 + 1e-9 for p in got.posterior.values())
         assert hmm.phase(sites, beam=3).cost >= got.cost
+        assert hmm.phase(sites, beam=10**6, least=4, share=1e-9).cost >= got.cost
+        assert hmm.phase(sites, beam=10**6, least=4, share=0.0).cost == got.cost
 
 
 def test_simulated_reads_are_phased(spark):
