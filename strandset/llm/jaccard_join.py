@@ -5,8 +5,8 @@ one node. A node samples one of the T hash functions (by a hash of the node's pa
 moves to the child of its token under it: sets that share the sampled token stay together, which a
 pair of similarity J does with probability J. A node of at most `bucket` sets isn't split but
 compared by brute force; larger ones are split again, up to DEPTH times. A pair is missed in a run
-with probability 1 - J**depth, so over `runs` runs with (1 - J**depth)**runs: under 1e-6 at the
-depths that occur (three at J = 0.8), see miss_probability().
+with probability 1 - J**depth, so over `runs` runs with (1 - J**depth)**runs. Nodes of rare tokens
+end at depth 1 (4e-9 at J = 0.8); depth 3 (2e-4) takes thousands of near copies; see miss_probability().
 
 Equal sets are one class member from the start: a representative stands for all its copies, which
 are never expanded into pairs. Large nodes that DEPTH splits can't part (thousands of near copies)
