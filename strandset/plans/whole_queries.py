@@ -1,0 +1,35 @@
+"""Queries over all rows, without SQL, where the query of the same name with SQL takes a subset as its SQL does."""
+from __future__ import annotations
+
+from strandset.sources.driver_tables import reads
+
+from . import interval_queries, pileup_queries, report_queries, stitch_queries
+from .registry import query
+
+ALL = {"where": "true"}
+WHOLE = {
+    interval_queries.overlap_pairs: ALL,
+    interval_queries.overlap_islands: {"rows": reads},
+    interval_queries.feature_overlap: ALL,
+    interval_queries.column_read_sets: {"rows": reads},
+    interval_queries.nearest_boundary: ALL,
+    interval_queries.shared_reads: ALL,
+    pileup_queries.genotype_likelihoods: ALL,
+    pileup_queries.bit_slice_counts: ALL,
+    stitch_queries.chunk_lookup: ALL,
+    report_queries.block_agreement: ALL,
+    report_queries.block_containment: ALL,
+    report_queries.incomplete_prefixes: ALL,
+}
+
+
+def _whole(f, rows: dict):
+    def run(spark, d):
+        return f(spark, d, **rows)
+
+    run.__name__ = f"{f.__name__}_whole"
+    return run
+
+
+for _f, _rows in WHOLE.items():
+    query()(_whole(_f, _rows))
