@@ -1,21 +1,19 @@
 """Near duplicates: a chosen-path join on five-word shingles at Jaccard similarity 0.8 or more.
 
-A set's representation for splitting is T MinHash tokens. In each of `runs` runs all sets start in
-one node. A node samples one of the T hash functions (by a hash of the node's path), and each set
-moves to the child of its token under it: sets that share the sampled token stay together, which a
-pair of similarity J does with probability J. A node of at most `bucket` sets isn't split but
-compared by brute force; larger ones are split again, up to DEPTH times. A pair is missed in a run
-with probability 1 - J**depth, so over `runs` runs with (1 - J**depth)**runs. Nodes of rare tokens
-end at depth 1 (4e-9 at J = 0.8); depth 3 (2e-4) takes thousands of near copies; see miss_probability().
+A set's representation for splitting is T MinHash tokens. In each of `runs` runs a set goes to the
+node of one of its tokens, another token in every run, so sets that agree on it meet, which a pair of
+similarity J does with probability J. A pair is missed in all runs with probability (1 - J)**runs,
+4e-9 at J = 0.8, whatever the size of the table: nodes aren't split by further tokens, as each of
+these would lose pairs that the node has. A node of at most `bucket` sets is compared by brute
+force; a larger one is cut into blocks of `block` sets, and pairs of blocks are compared in separate
+tasks, so no task holds an unbounded group and no pair is left out. The work of a node grows with
+the square of its size, as the number of links of a group of near copies does.
 
 Equal sets are one class member from the start: a representative stands for all its copies, which
-are never expanded into pairs. Large nodes that DEPTH splits can't part (thousands of near copies)
-are cut into blocks of `block` sets, and pairs of blocks are compared in separate tasks, so no task
-holds an unbounded group and no pair is left out. Comparing is in two steps: MinHash tokens name
-the sets that have a likely partner in a node, and only these sets' shingles are brought to the
-node, where pairs are verified exactly. A pair that already met in an earlier run's node isn't
-counted again. Pairs never become rows: a task returns a count of links for each set and edges of a
-spanning forest.
+are never expanded into pairs. Comparing is in two steps: MinHash tokens name the sets that have a
+likely partner in a node, and only these sets' shingles are brought to the node, where pairs are
+verified exactly. A pair that already met in an earlier run's node isn't counted again. Pairs never
+become rows: a task returns a count of links for each set and edges of a spanning forest.
 
 A document without words is like no other. Null texts are empty ones. Rows with a null doc_id are
 returned with their own null class and no link. Rows that repeat a doc_id are separate members of
@@ -35,7 +33,6 @@ from ._util import documents, mix, partitions, shingle_hashes, table, written
 THRESHOLD = 0.8
 TOKENS = 64
 RUNS = 12
-DEPTH = 6
 BUCKET = 800
 BLOCK = 800
 LIKELY = 0.6  # share of equal tokens from which a pair is verified: 3.5 deviations below 0.8 at TOKENS = 64
@@ -61,17 +58,10 @@ def tokens(shingles: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def paths(t: np.ndarray, depth: int) -> np.ndarray:
-    """Node keys of sets (rows of tokens) at a depth from 0: for each run, a hash of the path."""
-    out = np.zeros((len(t), RUNS), np.uint64)
-    for r in range(RUNS):
-        node = np.full(len(t), r + 1, np.uint64)
-        for d in range(depth + 1):
-            node = mix(node * np.uint64(0x2545F4914F6CDD1D) + np.uint64(d + 1))
-            pick = (node % np.uint64(TOKENS)).astype(np.int64)
-            node = mix(node ^ mix(t[np.arange(len(t)), pick].astype(np.uint64) + np.uint64(1)))
-        out[:, r] = node
-    return out
+def nodes(t: np.ndarray) -> np.ndarray:
+    """Node keys of sets (rows of tokens): for each run, a hash of the run and of its token."""
+    run = np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+    return mix(mix(run)[None, :] ^ mix(t[:, :RUNS].astype(np.uint64) + np.uint64(1)))
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -95,44 +85,30 @@ def sketched(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, n int, tokens binary")
 
 
-def _node_rows(reps: DataFrame, depth: int) -> DataFrame:
-    """rep, run, node: where each set is at this depth of each run."""
+def _node_rows(reps: DataFrame) -> DataFrame:
+    """rep, run, node: where each set is in each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
                 t = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-                node = paths(t, depth).astype(np.int64).reshape(-1)
+                node = nodes(t).astype(np.int64).reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rep").to_numpy(), RUNS)), pa.array(np.tile(np.arange(RUNS, dtype=np.int32), part.num_rows)), pa.array(node)], ["rep", "run", "node"])
 
     return reps.select("rep", "tokens").mapInArrow(run, "rep long, run int, node long")
 
 
-def leaves(reps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """rep, run, node, size: the node of at least two sets where each set ends in each run, if there is one."""
-    found, rest = [], None
-    for d in range(DEPTH):
-        if rest is None:
-            here = written(_node_rows(reps, d))
-        else:
-            here = _node_rows(reps.join(rest.select("rep").distinct(), "rep", "left_semi"), d)
-            here = written(here.join(rest, ["rep", "run"], "left_semi"))
-        sizes = here.groupBy("run", "node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        here = written(here.join(written(sizes), ["run", "node"]))
-        found.append(here if d == DEPTH - 1 else here.where(F.col("size") <= bucket))
-        rest = here.where(F.col("size") > bucket).select("rep", "run")
-        if rest.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("rep", "run", "node", "size")
+def leaves(reps: DataFrame) -> DataFrame:
+    """rep, run, node, size: the node of at least two sets where each set is in each run, if there is one."""
+    here = written(_node_rows(reps))
+    sizes = here.groupBy("run", "node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return written(here.join(written(sizes), ["run", "node"])).select("rep", "run", "node", "size")
 
 
-def _tasks(rows: DataFrame, block: int) -> DataFrame:
+def _tasks(rows: DataFrame, bucket: int, block: int) -> DataFrame:
     """rows (with rep, run, node, size) in every pair of blocks that a set is part of: task, mine (0 or 1)."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block).cast("int"))
+    blocks = F.when(F.col("size") <= bucket, 1).otherwise(F.ceil(F.col("size") / block).cast("int"))
     rows = rows.withColumn("g", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     task = F.xxhash64("run", "node", F.least("b", "o"), F.greatest("b", "o"))
@@ -196,10 +172,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bucket: int =
     known = base.where("doc_id is not null and n > 0")
     reps = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"))
     reps = written(reps.withColumnRenamed("set_a", "rep"))  # a set's hash names it: a doc_id may repeat with other text
-    ends = leaves(reps, bucket)
+    ends = leaves(reps)
     by_run = ends.groupBy("rep").agg(*(F.coalesce(F.max(F.when(F.col("run") == r, F.col("node"))), F.lit(0)).alias(f"r{r}") for r in range(RUNS)))
     by_run = written(by_run.join(reps.select("rep", "tokens", "copies"), "rep").select("rep", "tokens", "copies", F.array(*(f"r{r}" for r in range(RUNS))).alias("nodes")))
-    tasks = _tasks(ends.join(by_run, "rep"), block)
+    tasks = _tasks(ends.join(by_run, "rep"), bucket, block)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_task(batches):
