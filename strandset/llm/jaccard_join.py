@@ -11,7 +11,7 @@ the square of its size, as the number of links of a group of near copies does.
 
 Equal sets are one class member from the start: a representative stands for all its copies, which
 are never expanded into pairs. Comparing is in two steps: MinHash tokens name the sets that have a
-likely partner in a node, and only these sets' shingles are brought to the node, where pairs are
+likely partner in a node (30 of 64 tokens equal, which a pair at J = 0.8 lacks with probability 9.2e-10), and only these sets' shingles are brought to the node, where pairs are
 verified exactly. A pair that already met in an earlier run's node isn't counted again. Pairs never
 become rows: a task returns a count of links for each set and edges of a spanning forest.
 
@@ -22,6 +22,7 @@ a class. Very long texts are shingled whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ TOKENS = 64
 RUNS = 12
 BUCKET = 800
 BLOCK = 800
-LIKELY = 0.6  # share of equal tokens from which a pair is verified: 3.5 deviations below 0.8 at TOKENS = 64
+FILTER_MISS = 1e-9  # largest probability that a pair at the threshold has too few equal tokens to be verified
 
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -44,6 +45,16 @@ def miss_probability(similarity: float, depth: int, runs: int = RUNS) -> float:
     return (1 - similarity**depth) ** runs
 
 
+def filter_miss(similarity: float, least: int) -> float:
+    """Probability that fewer than `least` of the tokens of a pair are equal."""
+    return sum(comb(TOKENS, i) * similarity**i * (1 - similarity) ** (TOKENS - i) for i in range(least))
+
+
+def least_equal(threshold: float) -> int:
+    """Equal tokens from which a pair is verified: as many as FILTER_MISS allows (30 of 64 at 0.8)."""
+    return max(k for k in range(TOKENS + 1) if filter_miss(threshold, k) <= FILTER_MISS)
+
+
 def tokens(shingles: np.ndarray) -> np.ndarray:
     """MinHash tokens of a set, 32 bits each; zeros for an empty set."""
     if not len(shingles):
@@ -135,18 +146,18 @@ def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield group
 
 
-def _likely(rows: list[dict]) -> np.ndarray:
+def _likely(rows: list[dict], threshold: float = THRESHOLD) -> np.ndarray:
     """Pairs of a task's rows to verify: not met in an earlier run, of different blocks if there are two."""
     t = np.frombuffer(b"".join(r["tokens"] for r in rows), np.uint32).reshape(-1, TOKENS)
     nodes = np.array([r["nodes"] for r in rows], np.int64)
     b, two = np.array([r["b"] for r in rows]), rows[0]["lo"] != rows[0]["hi"]
-    n, out = len(rows), []
+    n, least, out = len(rows), least_equal(threshold), []
     for i in range(0, n, 64):
         part = slice(i, i + 64)
         same = np.zeros((len(t[part]), n), np.int16)
         for k in range(TOKENS):
             same += t[part, k, None] == t[None, :, k]
-        ok = same >= LIKELY * TOKENS
+        ok = same >= least
         ok &= np.arange(n)[None, :] > np.arange(i, i + len(ok))[:, None]
         if two:
             ok &= b[part, None] != b[None, :]
@@ -179,7 +190,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bucket: int =
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_task(batches):
-            used = np.unique(_likely(rows))
+            used = np.unique(_likely(rows, threshold))
             if len(used):
                 kept = [rows[i] for i in used]
                 yield pa.RecordBatch.from_pylist([{"rep": r["rep"], "task": r["task"], "run": r["run"], "b": r["b"], "lo": r["lo"], "hi": r["hi"]} for r in kept], pa.schema([("rep", pa.int64()), ("task", pa.int64()), ("run", pa.int32()), ("b", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]))
@@ -200,7 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bucket: int =
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_task(batches):
-            pairs = _likely(rows)
+            pairs = _likely(rows, threshold)
             rep, copies = np.array([r["rep"] for r in rows]), np.array([r["copies"] for r in rows])
             good = _similar([np.frombuffer(r["shingles"], np.uint64) for r in rows], pairs, threshold)
             pairs = pairs[good]

@@ -34,3 +34,16 @@ def test_runs_take_different_tokens():
         other = t.copy()
         other[0, k] += 1000
         assert (jaccard_join.nodes(t) != jaccard_join.nodes(other)).sum() == (k < jaccard_join.RUNS)
+
+
+def test_filter_passes_pairs_with_few_equal_tokens():
+    """Of pairs at J = 0.8 one in 7,900 has at most 38 equal tokens of 64."""
+    t = np.arange(jaccard_join.TOKENS, dtype=np.uint32)
+    other = np.r_[t[:34], t[34:] + 1000].astype(np.uint32)
+    rows = [{"tokens": x.tobytes(), "nodes": [0] * jaccard_join.RUNS, "b": 0, "lo": 0, "hi": 0, "run": 0} for x in (t, other)]
+    assert jaccard_join._likely(rows).tolist() == [[0, 1]]
+
+
+def test_filter_misses_less_than_the_runs():
+    assert jaccard_join.filter_miss(0.8, jaccard_join.least_equal(0.8)) <= 1e-9 < jaccard_join.filter_miss(0.8, jaccard_join.least_equal(0.8) + 1)
+    assert jaccard_join.filter_miss(0.8, 39) > 1e-4
