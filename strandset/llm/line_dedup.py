@@ -6,8 +6,10 @@ a line leads to one partner at most, however many documents share it, and the nu
 grows with the number of lines: no line is too common to be followed and none is capped. An
 alignment is a patience diff on line hashes: lines that occur once in both documents (the rarest
 ones) anchor it, the longest increasing sequence of anchors is kept, and runs of equal lines grow
-from anchors, in the gaps between them again. Runs of MIN_BLOCK characters or more are deleted from
-the later document.
+from anchors, in the gaps between them again. Runs that the alignment
+leaves, as their lines repeat in either document or are in another order, are then looked up in the
+owner. Runs of MIN_BLOCK characters or more are deleted from the later document, as often as it has
+them.
 
 Only hashes and lengths of lines move between tasks, and the positions to delete; texts meet their
 positions once, at the end.
@@ -83,9 +85,76 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return [tuple(r) for r in runs]
 
 
+def _windows(sizes: list[int], lo: int, hi: int, min_block: int) -> set[tuple[int, int]]:
+    """(first, end) in sizes[lo:hi]: of every line the shortest windows of min_block characters that begin and that end with it."""
+    out, i, total = set(), lo, 0
+    for j in range(lo, hi):
+        total += sizes[j]
+        while i < j and total - sizes[i] >= min_block:
+            total -= sizes[i]
+            i += 1
+        if total >= min_block:
+            out.add((i, j + 1))
+    j, total = hi - 1, 0
+    for i in range(hi - 1, lo - 1, -1):
+        total += sizes[i]
+        while j > i and total - sizes[j] >= min_block:
+            total -= sizes[j]
+            j -= 1
+        if total >= min_block:
+            out.add((i, j + 1))
+    return out
+
+
+_PRIME, _BASE = (1 << 61) - 1, 0x1E3779B97F4A7C15
+
+
+def _prefixes(values: list[int]) -> tuple[list[int], list[int]]:
+    sums, powers = [0], [1]
+    for v in values:
+        sums.append((sums[-1] * _BASE + v + 1) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+    return sums, powers
+
+
+def _stretches(known: list[bool]) -> list[tuple[int, int]]:
+    edges = [i for i in range(len(known) + 1) if (i > 0 and known[i - 1]) != (i < len(known) and known[i])]
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def repeated_lines(a: list[int], sizes: list[int], b: list[int], min_block: int = MIN_BLOCK) -> set[int]:
+    """Positions in a of the lines in any run of at least min_block characters that b holds, wherever and however often.
+
+    A line of such a run is in a shortest window that begins or ends with some line of the run, and
+    the run holds that window whole; so it is enough to look windows up, by a rolling hash.
+    """
+    size_of = dict(zip(a, sizes))
+    code = {x: k for k, x in enumerate(size_of)}
+    in_b = set(b)
+    sb, pb = _prefixes([code.get(x, -1) for x in b])
+    theirs = set()
+    b_sizes = [size_of.get(x, 0) for x in b]
+    for lo, hi in _stretches([x in code for x in b]):
+        theirs |= {(j - i, (sb[j] - sb[i] * pb[j - i]) % _PRIME) for i, j in _windows(b_sizes, lo, hi, min_block)}
+    sa, pa_ = _prefixes([code[x] for x in a])
+    change = [0] * (len(a) + 1)
+    for lo, hi in _stretches([x in in_b for x in a]):
+        for i, j in _windows(sizes, lo, hi, min_block):
+            if (j - i, (sa[j] - sa[i] * pa_[j - i]) % _PRIME) in theirs:
+                change[i] += 1
+                change[j] -= 1
+    depth, out = 0, set()
+    for i in range(len(a)):
+        depth += change[i]
+        if depth:
+            out.add(i)
+    return out
+
+
 def common_lines(a: list[int], sizes: list[int], b: list[int], min_block: int = MIN_BLOCK) -> list[int]:
-    """Positions in a of the lines in aligned runs of at least min_block characters."""
-    return [i for s, _, n in align(a, b) if sum(sizes[s : s + n]) >= min_block for i in range(s, s + n)]
+    """Positions in a of the lines in runs of at least min_block characters that b holds: aligned runs, and all others that the alignment leaves."""
+    gone = {i for s, _, n in align(a, b) if sum(sizes[s : s + n]) >= min_block for i in range(s, s + n)}
+    return sorted(gone if len(gone) == len(a) else gone | repeated_lines(a, sizes, b, min_block))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
