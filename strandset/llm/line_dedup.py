@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Each line of MIN_CHARS characters or more has an owner, the document with the smallest doc_id that
-holds it. A document is aligned with the owners of its lines where these are earlier documents, so
-a line leads to one partner at most, however many documents share it, and the number of pairs
+Each line of MIN_CHARS characters or more, and each block of lines that reaches MIN_BLOCK characters
+and has no shorter block that does, has an owner, the document with the smallest doc_id that holds
+it. Every common run of MIN_BLOCK characters has such a line or block, however short its lines are,
+so it meets a partner that holds MIN_BLOCK characters of it; what may stay of a longer run are ends
+under MIN_BLOCK characters that this partner lacks. A document is aligned with the owners of its
+lines and blocks where these are earlier documents, so a line leads to few partners, however many documents share it, and the number of pairs
 grows with the number of lines: no line is too common to be followed and none is capped. An
 alignment is a patience diff on line hashes: lines that occur once in both documents (the rarest
 ones) anchor it, the longest increasing sequence of anchors is kept, and runs of equal lines grow
@@ -157,6 +160,34 @@ def common_lines(a: list[int], sizes: list[int], b: list[int], min_block: int =
     return sorted(gone if len(gone) == len(a) else gone | repeated_lines(a, sizes, b, min_block))
 
 
+def block_keys(values: list[int], sizes: list[int], min_block: int = MIN_BLOCK) -> list[int]:
+    """Hashes of the windows of two lines or more that reach min_block characters and hold no shorter window that does."""
+    sums, powers = _prefixes(values)
+    out, i, total = set(), 0, 0
+    for j in range(len(values)):
+        total += sizes[j]
+        reached = total >= min_block
+        while i <= j and total >= min_block:  # afterwards i - 1 begins the shortest window that ends here
+            total -= sizes[i]
+            i += 1
+        if reached and i <= j:
+            out.add(((sums[j + 1] - sums[i - 1] * powers[j + 2 - i]) * _BASE + j + 2 - i) % _PRIME)
+    return sorted(out)
+
+
+def _blocks(lines: DataFrame, min_block: int) -> DataFrame:
+    """_id, _row, h: a row for each of block_keys of lines (_id, _row, h, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                keys = [block_keys(h, n, min_block) for h, n in zip(part.column("h").to_pylist(), part.column("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_row"), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_row", "keys"])
+
+    return lines.mapInArrow(run, "_id long, _row long, keys array<long>").select("_id", "_row", F.explode("keys").alias("h"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """_id, _row (tells rows of one doc_id apart), _lines, and _doc: the row itself, in a struct as its names may be ours."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -168,6 +199,7 @@ def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, min_block: int = MIN_
     lines = _keyed(docs).where("_id is not null").select("_id", "_row", F.transform("_lines", lambda x: F.xxhash64(F.trim(x))).alias("h"), F.transform("_lines", lambda x: F.length(F.trim(x))).alias("n"))
     lines = written(lines)
     each = lines.select("_id", "_row", F.explode(F.arrays_zip("h", "n")).alias("x")).select("_id", "_row", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where(F.col("n") >= min_chars)
+    each = each.select("_id", "_row", "h").unionByName(_blocks(lines, min_block))
     owners = written(each.groupBy("h").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("last > owner").select("h", "owner"))
     pairs = each.join(owners, "h").where("owner < _id").select("_id", "_row", "owner").distinct()
     pairs = written(pairs)

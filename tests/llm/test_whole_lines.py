@@ -31,3 +31,21 @@ def test_passage_quoted_twice(spark):
     docs = [(1, f"first\n{block}\nlast"), (2, f"own one\n{block}\nown two\n{block}\nown three")]
     got = {x.doc_id: x.text for x in line_dedup.line_dedup(frame(spark, docs)).collect()}
     assert got == {1: docs[0][1], 2: "own one\nown two\nown three"}
+
+
+def test_blocks_are_the_shortest():
+    r = random.Random(9)
+    for _ in range(500):
+        a = [r.randrange(5) for _ in range(r.randrange(12))]
+        size = [[0, 12, 20, 39, 40][x] for x in a]
+        every = {(i, j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(size[i:j]) >= 40}
+        least = {tuple(a[i:j]) for i, j in every if j - i > 1 and not ({(i + 1, j), (i, j - 1)} & every)}
+        assert len(line_dedup.block_keys(a, size)) == len(least)
+
+
+def test_blocks_of_short_lines_and_of_two_owners(spark):
+    verse = "\n".join(f"short line {i}" for i in range(30))
+    one, two = "a" * 25, "b" * 25
+    docs = [(1, f"x\n{one}"), (2, f"{two}\ny"), (3, f"three\n{one}\n{two}\nthree"), (4, f"four\n{one}\n{two}\n4"), (5, f"five\n{verse}\n5"), (6, f"six\n{verse}\n6")]
+    got = {x.doc_id: x.text for x in line_dedup.line_dedup(frame(spark, docs)).collect()}
+    assert got == {**dict(docs), 4: "four\n4", 6: "six\n6"}
