@@ -1,21 +1,27 @@
 """Line dedup by pairwise alignment.
 
-Each line of MIN_CHARS characters or more, and each block of lines that reaches MIN_BLOCK characters
-and has no shorter block that does, has an owner, the document with the smallest doc_id that holds
-it. Every common run of MIN_BLOCK characters has such a line or block, however short its lines are,
-so it meets a partner that holds MIN_BLOCK characters of it; what may stay of a longer run are ends
-under MIN_BLOCK characters that this partner lacks. A document is aligned with the owners of its
-lines and blocks where these are earlier documents, so a line leads to few partners, however many documents share it, and the number of pairs
-grows with the number of lines: no line is too common to be followed and none is capped. An
-alignment is a patience diff on line hashes: lines that occur once in both documents (the rarest
-ones) anchor it, the longest increasing sequence of anchors is kept, and runs of equal lines grow
-from anchors, in the gaps between them again. Runs that the alignment
-leaves, as their lines repeat in either document or are in another order, are then looked up in the
-owner. Runs of MIN_BLOCK characters or more are deleted from the later document, as often as it has
-them.
-
-Only hashes and lengths of lines move between tasks, and the positions to delete; texts meet their
-positions once, at the end.
+What is deleted: every line of a document that lies in a run of lines of MIN_BLOCK characters or
+more which an earlier document (a smaller doc_id) holds as well, blank lines and ends included.
+Every line of such a run is in a shortest window of MIN_BLOCK characters that begins or ends with
+it, and the run holds that window whole. So the steps are:
+
+1. The hashes of these windows, at most two for each line, are counted over all distinct texts:
+   their document frequency and their owner, the first document that holds them.
+2. A document follows its windows from the rarest to the most common, and takes a window's owner
+   as a partner if the window has a line that none of the rarer ones had. So documents meet through
+   the rarest lines they share, a line leads to few partners, however many documents have it, and
+   yet each line that an earlier document shares is in a window that some partner holds whole: no
+   link is lost, and no line is too common to be followed.
+3. A document is aligned with each partner by a patience diff on line hashes: lines that occur once
+   in both (the rarest ones) anchor it, the longest increasing sequence of anchors is kept, and
+   runs of equal lines grow from anchors, in the gaps between them again. Runs that the alignment
+   leaves, as their lines repeat or are in another order, are then looked up in the partner.
+4. Runs of MIN_BLOCK characters or more go from the later document, as often as it has them.
+
+Equal texts are aligned once: a copy of an earlier document is wholly aligned with it. Lines that
+no window shares with another text can't be aligned, and only marks stand for them, so a pair moves
+the shared lines of its two documents. Only hashes, lengths and positions move between tasks; texts
+meet the positions to delete once, at the end.
 """
 from __future__ import annotations
 
@@ -23,14 +29,15 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import table, written
+from ._util import mix, table, written
 
-MIN_CHARS = 20  # of a line that leads to a partner, without white space around it
-MIN_BLOCK = 40  # characters of an aligned run of lines
+MIN_BLOCK = 40  # characters of an aligned run of lines, without white space around each line
+ROWS = 256  # pairs of a batch that are Python objects at a time
 
 
 def _increasing(js: list[int]) -> list[int]:
@@ -160,83 +167,178 @@ def common_lines(a: list[int], sizes: list[int], b: list[int], min_block: int =
     return sorted(gone if len(gone) == len(a) else gone | repeated_lines(a, sizes, b, min_block))
 
 
-def block_keys(values: list[int], sizes: list[int], min_block: int = MIN_BLOCK) -> list[int]:
-    """Hashes of the windows of two lines or more that reach min_block characters and hold no shorter window that does."""
-    sums, powers = _prefixes(values)
-    out, i, total = set(), 0, 0
-    for j in range(len(values)):
-        total += sizes[j]
-        reached = total >= min_block
-        while i <= j and total >= min_block:  # afterwards i - 1 begins the shortest window that ends here
-            total -= sizes[i]
-            i += 1
-        if reached and i <= j:
-            out.add(((sums[j + 1] - sums[i - 1] * powers[j + 2 - i]) * _BASE + j + 2 - i) % _PRIME)
-    return sorted(out)
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def shortest_windows(sizes: np.ndarray, min_block: int = MIN_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the shortest windows of min_block characters that begin, and that end, with each line; each once."""
+    n = len(sizes)
+    total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    first = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + max(1, min_block), "left")
+    last = np.arange(1, n + 1)
+    begin = np.searchsorted(total, total[1:] - max(1, min_block), "right") - 1
+    code = np.unique(np.r_[(first * (n + 1) + end)[end <= n], (begin * (n + 1) + last)[begin >= 0]])
+    return code // (n + 1), code % (n + 1)
 
 
-def _blocks(lines: DataFrame, min_block: int) -> DataFrame:
-    """_id, _row, h: a row for each of block_keys of lines (_id, _row, h, n)."""
+def window_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[first:end] for each window."""
+    n = len(values)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(values.astype(np.uint64)) * _powers(_ODD, n), out=total[1:])
+    return mix((total[end] - total[first]) * _powers(_INVERSE, n + 1)[first] + (end - first).astype(np.uint64))
+
+
+def _lists(column: pa.Array, dtype) -> list[np.ndarray]:
+    """A list column as arrays, without Python objects for the values."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    return [flat[a:z] for a, z in zip(ends, ends[1:])]
+
+
+def _windows_of(texts: DataFrame, min_block: int) -> DataFrame:
+    """first, row, i, j, key: the shortest windows of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                keys = [block_keys(h, n, min_block) for h, n in zip(part.column("h").to_pylist(), part.column("n").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_row"), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_row", "keys"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                out = []
+                for k, (h, n) in enumerate(zip(_lists(part.column("h"), np.int64), _lists(part.column("n"), np.int64))):
+                    i, j = shortest_windows(n, min_block)
+                    if len(i):
+                        out.append((np.full(len(i), k), i, j, window_hashes(h, i, j)))
+                if out:
+                    which, i, j, key = (np.concatenate(x) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([part.column("first").take(pa.array(which)), part.column("row").take(pa.array(which)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(key.astype(np.int64))], ["first", "row", "i", "j", "key"])
+
+    return texts.select("first", "row", "h", "n").mapInArrow(run, "first long, row long, i int, j int, key long")
+
+
+def chosen_windows(windows: list[tuple[int, int, int, int]], n_lines: int) -> list[int]:
+    """Indices of windows (frequency, owner's rank, first, end) to follow: the rarest first, if one has a line that those before had not."""
+    covered = np.zeros(n_lines, bool)
+    out = []
+    for k in sorted(range(len(windows)), key=lambda k: windows[k]):
+        _, _, i, j = windows[k]
+        if not covered[i:j].all():
+            covered[i:j] = True
+            out.append(k)
+    return out
 
-    return lines.mapInArrow(run, "_id long, _row long, keys array<long>").select("_id", "_row", F.explode("keys").alias("h"))
 
+def _parts(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """first, row, pos, h, n, partners: of each text the lines in shared windows, a mark (pos -1) where others lie between, and whom it follows."""
+    partner = pa.list_(pa.struct([("o_first", pa.int64()), ("o_row", pa.int64())]))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """_id, _row (tells rows of one doc_id apart), _lines, and _doc: the row itself, in a struct as its names may be ours."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_row"), F.split(text, "\n").alias("_lines"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows = [[], [], [], []]
+                mine = part.column("first").to_pylist()
+                for k, (windows, h, n) in enumerate(zip(part.column("windows").to_pylist(), _lists(part.column("h"), np.int64), _lists(part.column("n"), np.int32))):
+                    held = np.zeros(len(h) + 1, np.int32)
+                    for w in windows:
+                        held[w["i"]] += 1
+                        held[w["j"]] -= 1
+                    pos = np.flatnonzero(np.cumsum(held)[:-1] > 0)
+                    gaps = np.flatnonzero(np.diff(pos) > 1) + 1
+                    rows[0].append(np.insert(pos, gaps, -1))
+                    rows[1].append(np.insert(h[pos], gaps, 0))
+                    rows[2].append(np.insert(n[pos], gaps, 0))
+                    earlier = [(w["df"], w["o_first"], w["i"], w["j"], w["o_row"]) for w in windows if w["o_first"] < mine[k]]
+                    rows[3].append([{"o_first": o, "o_row": r} for o, r in sorted({(earlier[c][1], earlier[c][4]) for c in chosen_windows([e[:4] for e in earlier], len(h))})])
+                yield pa.RecordBatch.from_arrays([part.column("first"), part.column("row"), pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.list_(pa.int64())), pa.array(rows[2], pa.list_(pa.int32())), pa.array(rows[3], partner)], ["first", "row", "pos", "h", "n", "partners"])
+
+    by_text = shared.groupBy("first", "row").agg(F.collect_list(F.struct("df", "o_first", "o_row", "i", "j")).alias("windows"))
+    both = by_text.join(texts.select("first", "row", "h", "n"), ["first", "row"])
+    return both.mapInArrow(run, "first long, row long, pos array<int>, h array<long>, n array<int>, partners array<struct<o_first:long,o_row:long>>")
+
+
+def _gone(pos: list[int], h: list[int], n: list[int], their_pos: list[int], theirs: list[int], min_block: int) -> list[int]:
+    """Positions that an alignment of two documents' shared lines deletes; marks are equal to nothing."""
+    a = [x if p >= 0 else ("a", k) for k, (p, x) in enumerate(zip(pos, h))]
+    b = [x if p >= 0 else ("b", k) for k, (p, x) in enumerate(zip(their_pos, theirs))]
+    return [pos[i] for i in common_lines(a, n, b, min_block)]
+
+
+def _text(column: str = "text"):
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def deletions(docs: DataFrame, min_chars: int = MIN_CHARS, min_block: int = MIN_BLOCK) -> DataFrame:
-    """_id, _row, gone: positions of the lines to delete, only for rows that lose lines."""
-    lines = _keyed(docs).where("_id is not null").select("_id", "_row", F.transform("_lines", lambda x: F.xxhash64(F.trim(x))).alias("h"), F.transform("_lines", lambda x: F.length(F.trim(x))).alias("n"))
-    lines = written(lines)
-    each = lines.select("_id", "_row", F.explode(F.arrays_zip("h", "n")).alias("x")).select("_id", "_row", F.col("x.h").alias("h"), F.col("x.n").alias("n")).where(F.col("n") >= min_chars)
-    each = each.select("_id", "_row", "h").unionByName(_blocks(lines, min_block))
-    owners = written(each.groupBy("h").agg(F.min("_id").alias("owner"), F.max("_id").alias("last")).where("last > owner").select("h", "owner"))
-    pairs = each.join(owners, "h").where("owner < _id").select("_id", "_row", "owner").distinct()
-    pairs = written(pairs)
-    earlier = lines.select(F.col("_id").alias("owner"), F.col("h").alias("b"))
-    both = written(pairs.join(lines.distinct(), ["_id", "_row"]).select("_id", "_row", "owner", "h", "n")).join(earlier.distinct(), "owner")
+def _named(text) -> list:
+    """row and row2, 128 bits that name a text."""
+    return [F.xxhash64(text).alias("row"), F.xxhash64(F.lit(1), text).alias("row2")]
+
+
+def deletions(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
+    """row, row2, first, gone: for texts that lose lines, the first document that has it and the positions of the lines it loses there.
+
+    A later document with the same text loses all lines, if they have min_block characters.
+    """
+    lines = F.split(_text(), "\n")
+    hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id"), *_named(_text()), F.transform(lines, lambda x: F.xxhash64(F.trim(x))).alias("h"), F.transform(lines, lambda x: F.length(F.trim(x))).alias("n"))
+    texts = hashed.groupBy("row", "row2").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.first("h").alias("h"), F.first("n").alias("n"))
+    texts = written(texts)
+    each = written(_windows_of(texts, min_block))
+    owners = each.groupBy("key").agg(F.min(F.struct("first", "row")).alias("o"), F.count(F.lit(1)).alias("uses"), F.max("first").alias("max_first")).where("uses > 1 and max_first > o.first")
+    shared = each.join(owners.select("key", F.col("uses").alias("df"), F.col("o.first").alias("o_first"), F.col("o.row").alias("o_row")), "key")
+    parts = written(_parts(shared, texts))
+    pairs = parts.select("first", "row", "pos", "h", "n", F.explode("partners").alias("o")).select("first", "row", "pos", "h", "n", "o.o_first", "o.o_row")
+    both = pairs.join(parts.select(F.col("first").alias("o_first"), F.col("row").alias("o_row"), F.col("pos").alias("their_pos"), F.col("h").alias("theirs")), ["o_first", "o_row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                gone = [common_lines(h, n, b, min_block) for h, n, b in zip(part.column("h").to_pylist(), part.column("n").to_pylist(), part.column("b").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_row"), pa.array(gone, pa.list_(pa.int32()))], ["_id", "_row", "gone"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                gone = [_gone(*x, min_block) for x in zip(*(part.column(c).to_pylist() for c in ("pos", "h", "n", "their_pos", "theirs")))]
+                yield pa.RecordBatch.from_arrays([part.column("first"), part.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["first", "row", "gone"])
 
-    gone = both.select("_id", "_row", "h", "n", "b").mapInArrow(run, "_id long, _row long, gone array<int>").where(F.size("gone") > 0)
-    return gone.groupBy("_id", "_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    found = both.select("first", "row", "pos", "h", "n", "their_pos", "theirs").mapInArrow(run, "first long, row long, gone array<int>").where(F.size("gone") > 0)
+    found = found.groupBy("first", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    enough = F.aggregate("n", F.lit(0).cast("long"), lambda acc, x: acc + x) >= min_block
+    out = texts.join(found, ["first", "row"], "left").select("row", "row2", "first", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), (F.lit(bool(min_block <= 0)) | enough).alias("enough"), "last")
+    return out.where((F.size("gone") > 0) | (F.col("enough") & (F.col("last") > F.col("first")))).drop("last", "enough")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_block: int = MIN_BLOCK) -> DataFrame:
+def line_dedup(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     """docs' columns, text without the deleted lines, n_lines and n_removed; one row for each input row.
 
     Null texts stay null and have one empty line; empty texts likewise. Later means a larger
     doc_id: rows with equal doc_ids aren't compared with one another, rows with a null doc_id with
     none; these stay as they are. Repeated lines inside a document stay. A document that an earlier
-    one holds whole is left with an empty text. Columns named text, n_lines or n_removed are replaced.
+    one holds whole is left with an empty text. Columns named text, n_lines or n_removed are
+    replaced. Texts of any length are aligned whole.
     """
-    gone = deletions(docs, min_chars, min_block)
-    rows = _keyed(docs).drop("_lines").join(gone, ["_id", "_row"], "left")
+    gone = deletions(docs, min_block)
+    rows = docs.select(F.when(F.col("doc_id").isNotNull(), F.col("doc_id").cast("long")).alias("_id"), *_named(_text()), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+    rows = rows.join(gone, ["row", "row2"], "left")
     old = F.col("_doc.text").cast("string")
     lines = F.split(F.coalesce(old, F.lit("")), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    copy = F.coalesce(F.col("_id") > F.col("first"), F.lit(False))
+    own = F.coalesce(F.when(F.col("_id") == F.col("first"), F.col("gone")), F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), own)
+    kept = F.when(F.size(own) == 0, old).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return rows.select(*(text.alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in names), F.size(lines).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    return rows.select(*((F.when(copy, F.lit("")).otherwise(kept)).alias(c) if c == "text" else F.col(f"_doc.`{c}`").alias(c) for c in names), F.size(lines).alias("n_lines"), F.when(copy, F.size(lines)).otherwise(F.size(own)).alias("n_removed"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines they share with earlier ones; those left with blank lines alone go."""
+    """Documents without the lines they share with earlier ones; those left with blank lines alone go.
+
+    Rows that lose nothing stay as they are: null and empty texts, null doc_ids and repeated rows of
+    one doc_id too. n_chars, if there is such a column, is the new length. Other columns are kept,
+    and an empty table gives an empty one.
+    """
     out = line_dedup(docs)
     out = out.where((F.col("n_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\r\t", ""))) > 0)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

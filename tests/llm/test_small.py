@@ -193,33 +193,16 @@ def test_alignment_runs():
             last = (i + n - 1, j + n - 1)
 
 
-def brute_lines(docs):
-    """Owners by a plain dictionary, alignment by the same kernel."""
-    texts = [(d, (t or "").split("\n")) for d, t in docs]
-    owner = {}
-    for d, lines in texts:
-        for x in lines:
-            if d is not None and len(x.strip(" ")) >= line_dedup.MIN_CHARS:
-                owner[x.strip(" ")] = min(d, owner.get(x.strip(" "), d))
-    out = []
-    for d, lines in texts:
-        gone = set()
-        for o in {owner[x.strip(" ")] for x in lines if d is not None and len(x.strip(" ")) >= line_dedup.MIN_CHARS} - {d}:
-            for e, other in texts:
-                if e == o:
-                    gone |= set(line_dedup.common_lines([x.strip(" ") for x in lines], [len(x.strip(" ")) for x in lines], [x.strip(" ") for x in other]))
-        out.append((str(d), "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)))
-    return sorted(out)
-
-
 def test_line_dedup(spark, odd):
+    from test_whole_lines import by_definition
+
     r = random.Random(6)
     pool = [words(r, 8) for _ in range(30)] + ["short", "", "  "]
     docs = [x for x in odd if x[0] != 6] + [(100 + i, "\n".join(r.choice(pool) if r.random() < 0.6 else words(r, 7) for _ in range(r.randrange(1, 12)))) for i in range(40)]
     docs += [(200, docs[-1][1]), (201, docs[-1][1]), (202, "\n".join(words(r, 6) for _ in range(2500)))]
     got = line_dedup.line_dedup(frame(spark, docs))
     assert set(got.columns) == set(SCHEMA.replace(",", " ").split()[::2]) | {"n_lines", "n_removed"}
-    assert sorted((str(x.doc_id), x.text or "", x.n_removed) for x in got.collect()) == brute_lines(docs)
+    assert sorted((str(x.doc_id), x.text or "", x.n_removed) for x in got.collect()) == by_definition(docs)
 
 
 # 6. Licence scans
