@@ -296,10 +296,6 @@ def test_near_duplicates(spark, odd, bucket, block):
     assert sorted((str(x.doc_id), str(x.class_id), x.n_links) for x in got) == brute_links(docs)
 
 
-def test_miss_probability_is_small():
-    assert jaccard_join.miss_probability(0.8, 1) < 1e-8 and jaccard_join.miss_probability(0.8, 3) < 1e-3
-
-
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 3)]
     got = {x.a: x.root for x in jaccard_join.components(spark.createDataFrame(chain, "a long, b long")).collect()}
