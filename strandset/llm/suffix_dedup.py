@@ -10,6 +10,9 @@ a run of windows with one minimiser is one short string. The steps:
    documents share costs a row for each group, not for each document).
 2. Each group sends the strings of its runs with shared minimisers, each distinct string once with
    the smallest and largest doc_id that has it in the group, to the task of their minimiser.
+   The strings of a minimiser that over HOT documents have (those at the ends of a common passage
+   differ in all of them) are cut into their windows, which are dealt by their own hashes, so no
+   task has all strings of one minimiser.
 3. There strings without a partner are set aside: strings that share a window share the 35 bytes
    that begin or that end with the minimiser's. The others get one suffix array by two-stage
    sorting: suffixes smaller than
@@ -37,10 +40,12 @@ from ._util import documents, partitions, table
 LENGTH = 50
 K = 20
 BLOCK = 1 << 20  # bytes of text hashed at a time
+SEGMENT = (1 << 16) - LENGTH  # windows whose minimisers are found at a time: their places have 16 bits
 FLUSH = 1 << 20  # minimisers held before they are sent
 SLICES = 16  # for each shuffle partition; the strings of one slice are solved together
 SIDE = (LENGTH - K) // 2  # bytes before or after a minimiser that any window around it has
 GROUP = 1000  # documents, on average
+HOT = 5000  # documents; the windows around a minimiser that more of them have are dealt one by one
 _B = np.uint64(0x9E3779B97F4A7C15)
 _SEPARATOR = 0xFF  # never a byte of UTF-8
 
@@ -63,16 +68,36 @@ def _rolling(b: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """A bijection of 48-bit numbers: minimisers are small numbers, and these spread evenly over ranges."""
+    mask = np.uint64((1 << 48) - 1)
+    for odd in (np.uint64(0x5851F42D4C95), np.uint64(0x9E3779B97F4B)):
+        h = (h * odd) & mask
+        h ^= h >> np.uint64(25)
+    return h
+
+
 def _minimisers(b: np.ndarray) -> np.ndarray:
-    """For each window of LENGTH bytes, the smallest hash (48 bits) of the K-byte strings in it, then its place (16 bits)."""
+    """For each window of LENGTH bytes, the smallest hash (48 bits) of the K-byte strings in it, then the place (16 bits) of the leftmost such string.
+
+    Places are compared within segments that overlap by a window, in which they have no more than
+    16 bits; so the leftmost of equal hashes is taken wherever the window lies.
+    """
     h = _rolling(b, K)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h &= np.uint64(0xFFFFFFFFFFFF0000)
-    h |= np.arange(len(h), dtype=np.uint64) & np.uint64(0xFFFF)
-    for step in (1, 2, 4, 8, LENGTH - K + 1 - 16):
-        h = np.minimum(h[:-step], h[step:])
-    return h
+    inside = LENGTH - K + 1
+    n = len(h) - inside + 1
+    out = np.empty(max(0, n), np.uint64)
+    for lo in range(0, n, SEGMENT):
+        part = h[lo : lo + SEGMENT + inside - 1]
+        part = part | np.arange(len(part), dtype=np.uint64)
+        for step in (1, 2, 4, 8, inside - 16):
+            part = np.minimum(part[:-step], part[step:])
+        place = ((part & np.uint64(0xFFFF)) + np.uint64(lo)) & np.uint64(0xFFFF)
+        out[lo : lo + len(part)] = (part & np.uint64(0xFFFFFFFFFFFF0000)) | place
+    return out
 
 
 def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -101,7 +126,7 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         keep = start <= ends[owner] - LENGTH
         start, count, owner = start[keep], count[keep], owner[keep]
         value = m[start]
-        yield np.array(chosen)[owner], start - first[owner], count, value >> np.uint64(16), ((value - start.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.int64)
+        yield np.array(chosen)[owner], start - first[owner], count, _spread(value >> np.uint64(16)), ((value - start.astype(np.uint64)) & np.uint64(0xFFFF)).astype(np.int64)
 
 
 def _packed(*things) -> bytes:
@@ -218,8 +243,8 @@ def _cuts(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, [*at[1:], len(x)]))
 
 
-def _shared(rows: DataFrame, n_parts: int) -> DataFrame:
-    """grp, found: minimisers of the group that two documents or more have, anywhere.
+def _shared(rows: DataFrame, n_parts: int, hot: int) -> DataFrame:
+    """grp, found, common: minimisers of the group that two documents or more have, anywhere, and whether more than `hot` have them.
 
     A minimiser is sent as its bucket and 32 more bits. Two that agree in these may be taken for
     one another, which only keeps a string longer than needed.
@@ -266,13 +291,14 @@ def _shared(rows: DataFrame, n_parts: int) -> DataFrame:
         m, grp, more = m[by], grp[by], more[by]
         head = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
         docs = np.add.reduceat(1 + more.astype(np.int64), head)
-        keep = np.repeat(docs > 1, np.diff(np.r_[head, len(m)]))
-        m, grp = m[keep], grp[keep]
+        size = np.diff(np.r_[head, len(m)])
+        keep, common = np.repeat(docs > 1, size), np.repeat(docs > hot, size)
+        m, grp, common = m[keep], grp[keep], common[keep]
         by = np.argsort(grp, kind="stable")
-        m, grp = m[by], grp[by]
+        m, grp, common = m[by], grp[by], common[by]
         if len(m):
             spans = _cuts(grp)
-            yield pa.RecordBatch.from_arrays([pa.array(grp[[a for a, _ in spans]]), pa.array([m[a:z].tobytes() for a, z in spans], pa.binary())], ["grp", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(grp[[a for a, _ in spans]]), pa.array([m[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([m[a:z][common[a:z]].tobytes() for a, z in spans], pa.binary())], ["grp", "found", "common"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -288,7 +314,7 @@ def _shared(rows: DataFrame, n_parts: int) -> DataFrame:
             yield from several(held)
 
     sent = rows.mapInArrow(collect, "bucket long, wide int, m binary, grp binary, more binary")
-    return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "grp long, found binary")
+    return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "grp long, found binary, common binary")
 
 
 def _known(m: np.ndarray, buckets: int) -> np.ndarray:
@@ -338,31 +364,42 @@ def _strings(dealt: DataFrame, shared: DataFrame, n_parts: int) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return empty
         found = np.unique(np.frombuffer(b"".join(right.column("found").to_pylist()), np.uint64))
+        common = np.unique(np.frombuffer(b"".join(right.column("common").to_pylist()), np.uint64))
         ids, texts = _group(left)
         seen: dict[bytes, list[int]] = {}
         for index, start, count, m, at in runs([t if d is not None else b"" for d, t in zip(ids, texts)]):
             hit = _among(found, _known(m, buckets))
-            for i, a, n, h, p in zip(index[hit].tolist(), start[hit].tolist(), count[hit].tolist(), m[hit].tolist(), at[hit].tolist()):
+            index, start, count, m, at = index[hit], start[hit], count[hit], m[hit], at[hit]
+            single = np.zeros(len(m), np.int64)
+            single[_among(common, _known(m, buckets))] = 1
+            each = np.where(single == 1, count, 1)
+            step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            index, m, single = (np.repeat(x, each) for x in (index, m, single))
+            start, at, count = np.repeat(start, each) + step, np.repeat(at, each) - step, np.where(single == 1, 1, np.repeat(count, each))
+            for i, a, n, h, p, c in zip(index.tolist(), start.tolist(), count.tolist(), m.tolist(), at.tolist(), single.tolist()):
                 content, d = texts[i][a : a + n + LENGTH - 1], ids[i]
                 known = seen.get(content)
                 if known is None:
-                    seen[content] = [h, p, d, d]
+                    seen[content] = [h, p, d, d, c]
                 elif d < known[2]:
                     known[2] = d
                 elif d > known[3]:
                     known[3] = d
         if not seen:
             return empty
-        m, p, low, high = (np.array(x) for x in zip(*seen.values()))
+        m, p, low, high, single = (np.array(x) for x in zip(*seen.values()))
         m = m.astype(np.uint64)
         content = list(seen)
-        by = np.argsort(m, kind="stable")
-        where = _split(m[by], slices)
+        where = _split(m, slices)
+        for i in np.flatnonzero(single).tolist():
+            where[i] = _key(content[i]) % slices
+        by = np.lexsort((m, where))
+        where = where[by]
         grp, out = left.column("grp")[0].as_py(), []
         for a, z in _cuts(where):
             k = by[a:z]
             mine = [content[i] for i in k.tolist()]
-            out.append((int(where[a]), _packed(b"".join(mine), np.array(list(map(len, mine)), np.uint32), m[k], p[k].astype(np.uint16), low[k], high[k] - low[k])))
+            out.append((int(where[a]), _packed(b"".join(mine), np.array(list(map(len, mine)), np.uint32), m[k], p[k].astype(np.uint16), low[k], high[k] - low[k], single[k].astype(bool))))
         return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([grp] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names)
 
     return dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(run, "slice long, grp long, blob binary")
@@ -390,19 +427,19 @@ def _marks(strings: DataFrame, n_parts: int) -> DataFrame:
         places: dict[bytes, int] = {}
         parts = []
         for grp, blob in rows:
-            joined, sizes, m, p, low, extra = _unpacked(blob)
+            joined, sizes, m, p, low, extra, single = _unpacked(blob)
             ends = np.cumsum(sizes.astype(np.int64)).tolist()
             mine = [joined[a:z] for a, z in zip([0, *ends], ends)]
             for content, d, at in zip(mine, low.tolist(), p.tolist()):
                 if d < lowest.get(content, d + 1):
                     lowest[content] = d
                     places[content] = at
-            parts.append((grp, mine, m, low + extra))
+            parts.append((grp, mine, m, low + extra, single))
         every = list(lowest)
         paired = [every[i] for i in np.flatnonzero(_partnered(every, np.array(list(places.values())))).tolist()]
         windows = dict(zip(paired, first_holders(paired, np.array([lowest[x] for x in paired], np.int64)))) if paired else {}
         out = []
-        for grp, mine, m, high in parts:
+        for grp, mine, m, high, single in parts:
             kept, keys, cuts, holders = [], [], [], []
             for i, (content, top) in enumerate(zip(mine, high.tolist())):
                 w = windows.get(content)
@@ -419,7 +456,7 @@ def _marks(strings: DataFrame, n_parts: int) -> DataFrame:
                     cuts.append(head.tolist())
                     holders.append(w[head].tolist())
             if kept:
-                out.append((grp, _packed(m[kept], np.array(keys, np.int64), np.array(list(map(len, cuts)), np.uint32), np.array([x for c in cuts for x in c], np.uint32), np.array([x for c in holders for x in c], np.int64))))
+                out.append((grp, _packed(m[kept], single[kept], np.array(keys, np.int64), np.array(list(map(len, cuts)), np.uint32), np.array([x for c in cuts for x in c], np.uint32), np.array([x for c in holders for x in c], np.int64))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["grp", "blob"])
 
@@ -441,34 +478,38 @@ def _marks(strings: DataFrame, n_parts: int) -> DataFrame:
 def _covered(ids: list, texts: list[bytes], marks: pa.Table) -> list[list[tuple[int, int]]]:
     """Removed spans (from, to) of each text, maximal and in order."""
     spans: list[list[tuple[int, int]]] = [[] for _ in ids]
-    found, by_key = [], {}
+    found, common, by_key = [], [], {}
     for blob in marks.column("blob").to_pylist():
-        m, keys, n, cuts, holders = _unpacked(blob)
+        m, single, keys, n, cuts, holders = _unpacked(blob)
         found.append(m)
+        common.append(m[single])
         ends = np.cumsum(n.astype(np.int64)).tolist()
         cuts, holders = cuts.tolist(), holders.tolist()
         by_key.update((k, (cuts[a:z], holders[a:z])) for k, a, z in zip(keys.tolist(), [0, *ends], ends))
     if not by_key:
         return spans
-    found = np.unique(np.concatenate(found))
+    found, common = np.unique(np.concatenate(found)), np.unique(np.concatenate(common))
     for index, start, count, m, _ in runs([t if d is not None else b"" for d, t in zip(ids, texts)]):
         hit = _among(found, m)
-        for i, a, n in zip(index[hit].tolist(), start[hit].tolist(), count[hit].tolist()):
-            mark = by_key.get(_key(texts[i][a : a + n + LENGTH - 1]))
-            if mark is None:
-                continue
-            cuts, holders = mark
-            for lo, hi, holder in zip(cuts, [*cuts[1:], n], holders):
-                if holder < ids[i]:
-                    lo, hi = a + lo, a + hi - 1 + LENGTH
-                    if spans[i] and lo <= spans[i][-1][1]:
-                        spans[i][-1] = (spans[i][-1][0], max(hi, spans[i][-1][1]))
-                    else:
-                        spans[i].append((lo, hi))
+        single = np.zeros(len(m), bool)
+        single[_among(common, m)] = True
+        for i, a, n, cut in zip(index[hit].tolist(), start[hit].tolist(), count[hit].tolist(), single[hit].tolist()):
+            for at, size in ((a + w, 1) for w in range(n)) if cut else ((a, n),):
+                mark = by_key.get(_key(texts[i][at : at + size + LENGTH - 1]))
+                if mark is None:
+                    continue
+                cuts, holders = mark
+                for lo, hi, holder in zip(cuts, [*cuts[1:], size], holders):
+                    if holder < ids[i]:
+                        lo, hi = at + lo, at + hi - 1 + LENGTH
+                        if spans[i] and lo <= spans[i][-1][1]:
+                            spans[i][-1] = (spans[i][-1][0], max(hi, spans[i][-1][1]))
+                        else:
+                            spans[i].append((lo, hi))
     return spans
 
 
-def suffix_dedup(docs: DataFrame, group: int = GROUP, digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, group: int = GROUP, digest: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes), or kept_sha256 if digest.
 
     One row for each input row. A string is removed from a document if it also starts in one with
@@ -480,7 +521,7 @@ def suffix_dedup(docs: DataFrame, group: int = GROUP, digest: bool = False) -> D
     groups = max(1, -(-docs.count() // group))
     rows = documents(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long").alias("grp"), "doc_id", "text")
     dealt = _dealt(rows, n_parts)
-    marks = _marks(_strings(dealt, _shared(rows, n_parts), n_parts), n_parts)
+    marks = _marks(_strings(dealt, _shared(rows, n_parts, hot), n_parts), n_parts)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = _group(left)

@@ -132,8 +132,8 @@ def test_suffix_dedup(spark, odd):
     passage = words(r, 30)
     docs += [(60 + i, words(r, 20) + passage[r.randrange(9) :] + words(r, 20)) for i in range(25)] + [(40, passage)]
     key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
-    for group in (1, 1000):
-        got = suffix_dedup.suffix_dedup(frame(spark, docs), group).collect()
+    for group, hot in ((1, 5000), (1000, 5000), (1, 1), (10, 6)):
+        got = suffix_dedup.suffix_dedup(frame(spark, docs), group, hot=hot).collect()
         assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=key) == sorted(removed(docs), key=key)
     digest = suffix_dedup.suffix_dedup(frame(spark, docs), digest=True).collect()
     assert sorted(x.kept_sha256 for x in digest) == sorted(hashlib.sha256(x[4]).hexdigest() for x in removed(docs))
