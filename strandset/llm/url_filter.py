@@ -7,8 +7,8 @@ verdicts don't depend on the order of additions. Training reads a small labelled
 """
 from __future__ import annotations
 
-import itertools
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -17,32 +17,48 @@ from pyspark.sql import functions as F
 
 from ._util import table
 
-SLOTS = 2039  # a prime; each of host and path has so many weights
+SLOTS = 8191  # a prime; each of host and path has so many weights
 BASE = 257
-GRAMS = (3, 4)
+GRAMS = (3, 4, 5)
 UNIT = 1_000_000
 SCALE = 8  # of counts in training
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# A small labelled table, made by rule: hosts with a word of either list, paths of either kind.
-BLOCKED_WORDS = "ads-track ad-server banner-ads click-track popup-ads adult-x adult-cam porn-tube sex-chat nude-pics casino-win casino-bet free-bets poker-room slot-spins lottery-win cheap-pills pills-shop viagra-sale spam-farm spam-link malware-drop phish-login crack-keys warez-zone".split()
-ALLOWED_WORDS = "news journal library museum school college garden kitchen travel science history weather music health forum archive wiki docs research city market the-river thther thththe tionsh tionble theres thatand flower-shop reading-room link-list train-track key-maker farm-life web-server picture-book click-clock pop-music".split()
-_SUFFIXES = ("example.com", "example.net", "example.org")
-_ALLOWED_PATHS = ("/en/12", "/de/345.html", "/fr/6/", "/es/789")  # pages of either kind
-_BLOCKED_PATHS = (*_ALLOWED_PATHS, "/win-free-bets", "/adult-x/3", "/track/click")
+# A small labelled table, made by rule: hosts built around a word of either list with words of no
+# kind before and after it, and pages of either kind.
+BLOCKED_WORDS = "casino poker roulette blackjack jackpot slots gambling bets betting wager lottery bingo viagra cialis pharmacy pills steroids weightloss payday loans porn xxx sex adult nude escort webcam hentai spam malware trojan phishing virus ransomware exploit warez crack keygen serials torrents pirated proxy ads adserver advert adtech banners popup popunder tracker tracking clicks affiliate telemetry counterfeit replica".split()
+ALLOWED_WORDS = "news journal library museum school college garden kitchen travel science history weather music health forum archive wiki docs research city market river flower reading picture farm train mountain bridge theatre gallery hospital church village harbour forest planet physics chemistry biology maths grammar dictionary recipes bakery tea coffee cycling football chess sailing climbing camping painting poetry novel letters cinema radio guitar piano orchestra dance fashion textile furniture carpentry plumbing masonry gardening pets horses birds fishing astronomy geology economy finance law parliament council police fire rescue charity volunteer jobs careers training university institute academy laboratory software hardware robotics electronics printing maps atlas thing theory thread thought other mother father brother clothing washing finishing publishing teaching learning building cooking driving writing station nation fiction motion option edition tradition kitten heather leather northern southern thistle earth health wealth youth month truth lantern intern pattern winter summer autumn spring shed harvest rivers oranges olives onions bread butter cheese".split()
+_BEFORE = ("", "my-", "the-", "best-", "top", "new-", "all", "free-", "go-", "super")
+_AFTER = ("", "-online", "24", "-world", "-shop", "s", "-now", "-hub", "-info", "land")
+_DOMAINS = ("com", "net", "org", "de", "co.uk", "info", "io", "fr", "es", "example")
+_SUBDOMAINS = ("", "www.", "m.", "blog.")
+_PAGES = ("/", "/en/12", "/de/345.html", "/fr/6/", "/es/789", "/index.php", "/2021/03/a-title")  # pages of either kind
+_BLOCKED_PAGES = ("/win-bonus", "/track/click", "/adult/3", "/download-crack", "/buy-pills")
+_ALLOWED_PAGES = ("/articles/on-bread", "/lessons/4", "/about", "/opening-hours", "/papers/17.pdf")
+HOSTS_OF_A_WORD = 12
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """(url, label), label 1 for what is to be blocked."""
     out = []
-    for words, paths, label in ((BLOCKED_WORDS, _BLOCKED_PATHS, 1), (ALLOWED_WORDS, _ALLOWED_PATHS, 0)):
-        for i, (word, sub, path) in enumerate(itertools.product(words, ("", "www.", "m.", "blog."), paths)):
-            out.append((f"https://{sub}{word}.{_SUFFIXES[i % 3]}{path}", label))
+    for words, own, label in ((BLOCKED_WORDS, _BLOCKED_PAGES, 1), (ALLOWED_WORDS, _ALLOWED_PAGES, 0)):
+        for k, word in enumerate(words):
+            for i in range(HOSTS_OF_A_WORD):
+                j = 7 * k + 3 * i
+                host = f"{_SUBDOMAINS[j % 4]}{_BEFORE[j % 10]}{word}{_AFTER[(j // 3 + i) % 10]}.{_DOMAINS[(k + i) % 10]}"
+                pages = _PAGES + own
+                out.append((f"https://{host}{pages[(k + 5 * i) % len(pages)]}", label))
     return out
 
 
+def held_out(url: str) -> bool:
+    """Whether a host's registered name is in the held-out quarter."""
+    name = split_url(url)[0].split(".")
+    return zlib.crc32(max(name, key=len).encode()) % 4 == 2
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     m = re.match(PARTS, url or "")
     return (m[1].translate(str.maketrans(_UP, _LOW)), m[2]) if m else ("", "")
@@ -61,7 +77,7 @@ def _slots(host: str, path: str) -> list[int]:
 
 
 @lru_cache(maxsize=8)
-def train(rows: tuple[tuple[str, int], ...] | None = None, max_rows: int = 10_000, steps: int = 300, rate: float = 2.0, decay: float = 1e-5, prior: float = -2.0) -> tuple[int, tuple[int, ...]]:
+def train(rows: tuple[tuple[str, int], ...] | None = None, max_rows: int = 10_000, steps: int = 600, rate: float = 24.0, decay: float = 1e-4, prior: float = -2.0) -> tuple[int, tuple[int, ...]]:
     """(bias, weights) in millionths, by gradient descent on at most max_rows labelled rows; features count n-grams.
 
     The bias is the log-odds of a URL of which nothing is known, and isn't learned: the table doesn't
@@ -69,19 +85,16 @@ def train(rows: tuple[tuple[str, int], ...] | None = None, max_rows: int = 10_00
     both kinds share need no weight.
     """
     rows = (tuple(labelled_urls()) if rows is None else rows)[:max_rows]
-    x = np.zeros((len(rows), 2 * SLOTS))
-    for i, (url, _) in enumerate(rows):
-        np.add.at(x[i], _slots(*split_url(url)), 1 / SCALE)
-    used = np.flatnonzero(x.any(0)) if len(rows) else np.zeros(0, np.int64)
-    x, y = x[:, used], np.array([label for _, label in rows], float)
+    slots = [np.array(_slots(*split_url(url)), np.int64) for url, _ in rows]
+    at = np.repeat(np.arange(len(rows)), list(map(len, slots)))
+    slot = np.concatenate([*slots, np.zeros(0, np.int64)])
+    y = np.array([label for _, label in rows], float)
     weight = np.where(y == 1, np.exp(prior) * max(1, (y == 0).sum()) / max(1, (y == 1).sum()), 1.0)
-    w = np.zeros(len(used))
+    w = np.zeros(2 * SLOTS)
     for _ in range(steps if len(rows) else 0):
-        p = 1 / (1 + np.exp(-(x @ w + prior)))
-        w -= rate * (8 * x.T @ (weight * (p - y)) / weight.sum() + decay * w)
-    every = np.zeros(2 * SLOTS)
-    every[used] = w / SCALE
-    return round(prior * UNIT), tuple(int(v) for v in np.round(every * UNIT))
+        p = 1 / (1 + np.exp(-(np.bincount(at, w[slot], len(rows)) / SCALE + prior)))
+        w -= rate * (np.bincount(slot, (weight * (p - y))[at], 2 * SLOTS) / weight.sum() + decay * w)
+    return round(prior * UNIT), tuple(int(v) for v in np.round(w / SCALE * UNIT))
 
 
 def _sum_of_weights(s: Column, weights: tuple[int, ...]) -> Column:

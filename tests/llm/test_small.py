@@ -65,11 +65,21 @@ def test_urls(spark):
         assert r.margin == bias + sum(weights[i] for i in url_filter._slots(r.host, r.path))
 
 
-def test_url_model_on_unseen_hosts():
+def test_url_model_on_held_out_hosts():
+    """Hosts of the quarter that training doesn't see; figures are in README."""
+    rows = url_filter.labelled_urls()
+    bias, weights = url_filter.train(tuple(r for r in rows if not url_filter.held_out(r[0])))
+    blocked = lambda u: bias + sum(weights[i] for i in url_filter._slots(*url_filter.split_url(u))) > 0
+    test = [(label, blocked(u)) for u, label in rows if url_filter.held_out(u)]
+    hit = sum(a and b for a, b in test)
+    assert len(test) > 500 and hit >= 0.95 * sum(b for _, b in test) and hit >= 0.7 * sum(a for a, _ in test)
+
+
+def test_url_model_on_unrelated_hosts():
     bias, weights = url_filter.train()
     z = lambda u: bias + sum(weights[i] for i in url_filter._slots(*url_filter.split_url(u)))
-    assert all(z(f"https://{p}casino-bets.example.org/fr/9") > 0 and z(f"https://{p}adult-x.example.com/de/3") > 0 for p in ("", "www.", "blog."))
-    assert all(z(f"https://{w}.example.net/en/5") <= 0 for w in ("bookshop", "mountain", "tionthe", "recipes"))
+    assert sum(z(f"https://{p}{w}.example.org/fr/9") > 0 for p in ("", "www.", "blog.") for w in ("casino-nights", "poker-bets", "torrents-tube", "spam-mailer")) >= 8  # as many as recall on held-out hosts lets expect
+    assert all(z(f"https://{w}.example.net/en/5") <= 0 for w in ("bookshop", "mountains", "riverside", "recipes", "lamps", "tionthe"))
 
 
 # 2. Decontamination
