@@ -87,14 +87,17 @@ def test_url_model_on_unrelated_hosts():
 def containment(docs, items, t=0.8):
     def grams(text):
         import re
-        w = [x for x in re.split("[^0-9a-z\u0080-\U0010ffff]+", (text or "").lower()) if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return [x for x in re.split("[^0-9a-z\u0080-\U0010ffff]+", (text or "").lower()) if x]
+
+    def shingles(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
     out = {}
     for d, text in docs:
-        g = grams(text)
+        own = grams(text)
         for k, item in items:
-            b = grams(item)
+            size = min(5, len(grams(item)))
+            b, g = (shingles(w, size) if size else set() for w in (grams(item), own))
             if d is not None and b and len(b & g) >= t * len(b) - 1e-9:
                 out[d, k] = max(out.get((d, k), 0), round(len(b & g) / len(b), 6))
     return out
@@ -105,8 +108,9 @@ def test_containment(spark, odd, monkeypatch, broadcast):
     if not broadcast:
         monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     r = random.Random(5)
-    items = [(k, words(r, r.choice([5, 9, 20, 57]), 90)) for k in range(30)] + [(30, "too short item"), (31, None), (32, "")]
+    items = [(k, words(r, r.choice([5, 9, 20, 57]), 90)) for k in range(30)] + [(30, "too short item"), (31, None), (32, ""), (33, "alone")]
     docs = list(odd)
+    docs += [(90, "a too short ITEM it is"), (91, "too, short"), (92, "alone"), (92, "quite alone")]
     for i in range(60):
         w = items[i % 30][1].split()
         for _ in range(i % 4):
@@ -363,5 +367,16 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert {x.doc_id for x in rows} == {d for d, _ in good} and all(x.exact for x in rows)
 
 
+def test_decontamination_judges_rows_by_their_texts(spark, tmp_path):
+    r = random.Random(12)
+    item = words(r, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "x " + item), (1, "clean"), (2, None), (3, ""), (3, ""), (None, item), (None, "clean")]
+    got = decontaminate.stage(spark, frame(spark, docs), str(tmp_path))
+    assert got.columns == frame(spark, docs).columns
+    assert sorted((str(x.doc_id), str(x.text)) for x in got.collect()) == sorted((str(d), str(t)) for d, t in docs if not (t or "").endswith(item))
+    assert decontaminate.stage(spark, frame(spark, []), str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
