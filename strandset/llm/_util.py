@@ -22,10 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[app]}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/strandset-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

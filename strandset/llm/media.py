@@ -1,11 +1,13 @@
 """Interleaved document sequences: text and media references in reading order, payloads found by digest.
 
 A page's HTML is parsed into an ordered list of items. A text item holds a run of text; a media
-item holds the digest that its reference names, the alternative text and the caption. Positions
-count items from 0, so they stay aligned when payloads are resolved later: a resolution joins on
-the digest and never reorders, drops or adds items. Payloads live in a media table, one row for
-each digest, in a container with a short header and 8-bit samples (PGM: width 24, 24 rows for each
-576 bytes).
+item holds the reference, the digest if the reference names one, the alternative text and the
+caption of its figure. Positions count items from 0, so they stay aligned when payloads are resolved
+later: a resolution joins on the digest and never reorders, drops or adds items. Payloads live in a
+media table in the shared folder, in a container with a short header and 8-bit samples (PGM: width
+24, 24 rows for each 576 bytes). A task stores a digest once, however many of its rows have that
+payload; what is known of a payload is computed from the stored bytes, read back, and reduced to one
+row for each digest before references meet it.
 """
 from __future__ import annotations
 
@@ -24,21 +26,23 @@ from ._util import documents, table, written
 SIDE = 24
 TILE = SIDE * SIDE
 REFERENCE = "sha256:"
-ITEM = "array<struct<pos:int,kind:string,text:string,digest:string,alt:string,caption:string>>"
+ITEM = "array<struct<pos:int,kind:string,text:string,src:string,digest:string,alt:string,caption:string>>"
+SEEN = 100_000  # digests that a task remembers to have stored; beyond that it starts anew
 _BREAKS = set("p div h1 h2 h3 h4 h5 h6 li ul ol br tr td th table article section figure header footer blockquote pre".split())
 _HIDDEN = {"script", "style", "template", "noscript"}
 _MEDIA = {"img", "audio", "video", "source", "embed"}
 
 
 class _Sequence(HTMLParser):
-    """Collects items; a figure's caption belongs to the media items in it."""
+    """Collects items. A caption ends at its end tag, at that of its figure or at the end of the page,
+    and belongs to the media items of its figure, before it or after it; outside figures it is text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
         self.caption: list[str] | None = None
-        self.figures: list[int] = []
+        self.figures: list[dict] = []  # open ones: first item, captions
         self.hidden = ""
 
     def _end_text(self):
@@ -47,6 +51,23 @@ class _Sequence(HTMLParser):
         if run:
             self.items.append({"kind": "text", "text": run})
 
+    def _end_caption(self):
+        if self.caption is not None:
+            self.figures[-1]["said"].append(" ".join("".join(self.caption).split()))
+            self.caption = None
+
+    def _end_figure(self):
+        self._end_caption()
+        self._end_text()
+        figure = self.figures.pop()
+        said = " ".join(x for x in figure["said"] if x)
+        held = [x for x in self.items[figure["first"] :] if x["kind"] == "media" and "caption" not in x]
+        if figure["said"]:
+            for item in held:
+                item["caption"] = said
+            if not held and said:  # a figure without media: its caption is text
+                self.items.append({"kind": "text", "text": said})
+
     def handle_starttag(self, tag, attrs):
         if self.hidden:
             return
@@ -54,16 +75,23 @@ class _Sequence(HTMLParser):
             self.hidden = tag
         elif tag in _MEDIA:
             src = next((v for k, v in attrs if k == "src" and v), "")
-            if src.startswith(REFERENCE):
+            if src:
                 self._end_text()
-                self.items.append({"kind": "media", "digest": src[len(REFERENCE) :].lower(), "alt": dict(attrs).get("alt")})
+                digest = src[len(REFERENCE) :].lower() if src.startswith(REFERENCE) else None
+                self.items.append({"kind": "media", "src": src, "digest": digest, "alt": dict(attrs).get("alt")})
         elif tag == "figcaption":
             self._end_text()
-            self.caption = []
+            if self.figures:
+                self._end_caption()
+                self.caption = []
+        elif tag == "figure":
+            self._end_caption() if self.figures else None
+            self._end_text()
+            self.figures.append({"first": len(self.items), "said": []})
         elif tag in _BREAKS:
+            if self.caption is not None:
+                self.caption.append(" ")
             self._end_text()
-            if tag == "figure":
-                self.figures.append(len(self.items))
 
     def handle_startendtag(self, tag, attrs):
         if tag not in _HIDDEN:
@@ -74,36 +102,42 @@ class _Sequence(HTMLParser):
             self.hidden = ""
         elif self.hidden:
             return
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] == "media":
-                    item["caption"] = said
-            self.caption = None
+        elif tag == "figcaption":
+            self._end_text()
+            if self.figures:
+                self._end_caption()
+        elif tag == "figure":
+            if self.figures:
+                self._end_figure()
         elif tag in _BREAKS:
+            if self.caption is not None:
+                self.caption.append(" ")
             self._end_text()
-            if tag == "figure" and self.figures:
-                self.figures.pop()
 
     def handle_data(self, data):
         if not self.hidden:
             (self.text if self.caption is None else self.caption).append(data)
 
+    def finish(self) -> list[dict]:
+        self.close()
+        while self.figures:
+            self._end_figure()
+        self._end_text()
+        return self.items
+
 
 def parse(page: str | None) -> list[dict]:
     """Items of one page: null or empty HTML has none; markup that never ends is closed at the end."""
     p = _Sequence()
     p.feed(page or "")
-    p.close()
-    p._end_text()
-    return [{"pos": i, "kind": x["kind"], "text": x.get("text"), "digest": x.get("digest"), "alt": x.get("alt"), "caption": x.get("caption")} for i, x in enumerate(p.items)]
+    return [{"pos": i, **{k: x.get(k) for k in ("kind", "text", "src", "digest", "alt", "caption")}} for i, x in enumerate(p.finish())]
 
 
 def sequences(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """key and items, the ordered text and media-reference structs; one row for each input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "alt", "caption"))]))
+        kind = pa.list_(pa.struct([("pos", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "src", "digest", "alt", "caption"))]))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(x.as_py()) for x in b.column(1)], kind)], [key, "items"])
 
@@ -147,21 +181,48 @@ def _facts(n_bytes: int, stored: bytes) -> tuple:
     return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), describe(payload)
 
 
-def media_table(payloads: DataFrame) -> DataFrame:
-    """digest, media (stored form) and facts for each row of (n_bytes, payload); not yet one for each digest."""
+def store(payloads: DataFrame) -> DataFrame:
+    """digest, n_bytes and media (the stored form) from rows of (digest, n_bytes, payload), as a table in the shared folder.
+
+    A task stores a digest once (as long as it remembers it); tasks don't wait for one another, so
+    the table may have a digest as often as there are tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                new = []
+                for k, digest in enumerate(part.column("digest").to_pylist()):
+                    key = bytes.fromhex(digest)
+                    if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(key)
+                        new.append(k)
+                if new:
+                    part = part.take(pa.array(new))
+                    media = pa.array([pack(x.as_py()) for x in part.column("payload")], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("n_bytes"), media], ["digest", "n_bytes", "media"])
+
+    rows = payloads.select("digest", "n_bytes", "payload").mapInArrow(run, "digest string, n_bytes long, media binary")
+    return written(rows, compression="zstd")
+
+
+def facts(media: DataFrame) -> DataFrame:
+    """digest and facts of each stored payload (digest, n_bytes, media); one row for each digest."""
+    schema = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.string()), ("media", pa.binary()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                rows = []
-                for n, raw in zip(part.column("n_bytes").to_pylist(), part.column("payload").to_pylist()):
-                    stored = pack(raw)
-                    rows.append((hashlib.sha256(raw).hexdigest(), stored, *_facts(n, stored)))
+                rows = [(d.as_py(), *_facts(n.as_py(), m.as_py())) for d, n, m in zip(*(part.column(c) for c in ("digest", "n_bytes", "media")))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return payloads.select("n_bytes", "payload").mapInArrow(run, f"digest string, media binary, {FACTS}")
+    out = media.select("digest", "n_bytes", "media").mapInArrow(run, f"digest string, {FACTS}")
+    return out.groupBy("digest").agg(*(F.first(c).alias(c) for c in schema.names[1:]))
 
 
 def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
@@ -176,29 +237,30 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def document_payloads(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and payload: the text's UTF-8 bytes, padded with 255 to a positive multiple of TILE."""
+    """doc_id, n_bytes, payload (the text's UTF-8 bytes, padded with 255 to a positive multiple of TILE) and its digest."""
     raw = F.col("text").cast("binary")
     short = F.pmod(-F.octet_length("text"), F.lit(TILE)) + F.when(F.octet_length("text") == 0, TILE).otherwise(0)
-    return documents(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.concat(raw, F.unhex(F.repeat(F.lit("FF"), short))).alias("payload"))
+    out = documents(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.concat(raw, F.unhex(F.repeat(F.lit("FF"), short))).alias("payload"))
+    return out.withColumn("digest", F.sha2("payload", 256))
 
 
 def figure_pages(payloads: DataFrame) -> DataFrame:
     """doc_id and html: a page that names each document's payload once, with a caption."""
-    digest = F.concat(F.lit(f'<article><p>Document</p><figure><img src="{REFERENCE}'), F.sha2("payload", 256), F.lit('" alt="bytes of a text"><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure></article>"))
-    return payloads.select("doc_id", digest.alias("html"))
+    html = F.concat(F.lit(f'<article><p>Document</p><figure><img src="{REFERENCE}'), F.col("digest"), F.lit('" alt="bytes of a text"><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure></article>"))
+    return payloads.select("doc_id", html.alias("html"))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
     """doc_id and the facts of its stored payload, found through the page's media reference.
 
     One row for each input row; null texts are empty ones, whose payload is one tile of 255. Equal
-    texts have one media row and so equal values. Payloads don't move: only references and facts do.
+    texts have one media row and so equal values. Payloads are written where they are and read back
+    where they lie: only references and facts move between tasks.
     """
     payloads = document_payloads(docs)
     items = sequences(figure_pages(payloads), "doc_id").select("doc_id", F.explode("items").alias("item")).where("item.kind = 'media'")
     refs = items.select("doc_id", F.col("item.digest").alias("digest"), F.col("item.pos").alias("pos"), F.col("item.caption").alias("caption"))
-    facts = media_table(payloads).drop("media")
-    return resolve(refs, facts).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    return resolve(refs, facts(store(payloads))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,9 +325,14 @@ def test_media(spark, odd):
     for d, t in odd:
         raw = (t or "").encode()
         padded = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
-        want.append((str(d), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:])))
+        stored = b"P5\n24 " + str(len(padded) // 24).encode() + b"\n255\n" + padded
+        mean = sum(padded) / len(padded)
+        dev = (sum(x * x for x in padded) / len(padded) - mean * mean) ** 0.5
+        hist = ",".join(str(sum(x // 16 == k for x in padded)) for k in range(16))
+        feature = f"{len(padded) // 24}x24;mean={mean:.4f};dev={abs(dev):.4f};edges={sum(a != b for a, b in zip(padded, padded[1:]))};hist={hist}"
+        want.append((str(d), len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
         assert media.unpack(media.pack(padded)) == padded
-    assert sorted((str(x.doc_id), x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) for x in rows) == sorted(want)
+    assert sorted((str(x.doc_id), x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes, x.media_sha256, x.feature) for x in rows) == sorted(want)
     assert all(x.media_bytes > x.payload_bytes and len(x.media_sha256) == 64 and x.feature for x in rows)
     assert len({(x.media_sha256, x.feature) for x in rows if x.doc_id in (1, 2)}) == 1
 
@@ -337,11 +342,35 @@ def test_sequences(spark):
     page = f'<p>One &amp; two</p><script>no</script><figure><img src="sha256:{d1}" alt="A"><img src="sha256:{d2}"/><figcaption>Both <b>here</b></figcaption></figure>tail<img src="http://x/y.png"><video src="sha256:{d1.upper()}">'
     pages = spark.createDataFrame([(1, page, 0), (2, None, 0), (3, "", 0), (4, "<p>open", 0), (None, "text", 0)], "page_id long, html string, items int")
     got = {r.page_id: r["items"] for r in media.sequences(pages).collect()}
-    assert [(i.pos, i.kind, i.text, i.digest, i.alt, i.caption) for i in got[1]] == [(0, "text", "One & two", None, None, None), (1, "media", None, d1, "A", "Both here"), (2, "media", None, d2, None, "Both here"), (3, "text", "tail", None, None, None), (4, "media", None, d1, None, None)]
+    assert [(i.pos, i.kind, i.text, i.digest, i.alt, i.caption) for i in got[1]] == [(0, "text", "One & two", None, None, None), (1, "media", None, d1, "A", "Both here"), (2, "media", None, d2, None, "Both here"), (3, "text", "tail", None, None, None), (4, "media", None, None, None, None), (5, "media", None, d1, None, None)]
+    assert got[1][4].src == "http://x/y.png"
     assert got[2] == [] and got[3] == [] and [i.text for i in got[4]] == ["open"] and [i.text for i in got[None]] == ["text"]
     refs = media.sequences(pages).select("page_id", F.explode("items").alias("i")).where("i.kind = 'media'").select("page_id", F.col("i.pos").alias("pos"), F.col("i.digest").alias("digest"))
     store = spark.createDataFrame([(d1, b"x"), (d1, b"x")], "digest string, media binary")
-    assert sorted((x.pos, x.media and bytes(x.media)) for x in media.resolve(refs, store).collect()) == [(1, b"x"), (2, None), (4, b"x")]
+    assert sorted((x.pos, x.media and bytes(x.media)) for x in media.resolve(refs, store).collect()) == [(1, b"x"), (2, None), (4, None), (5, b"x")]
+
+
+def test_captions():
+    short = lambda page: [(x["kind"], x["text"] or x["src"], x["caption"]) for x in media.parse(page)]
+    assert short('<figure><img src="a"><figcaption>cap</figure><p>body text after</p>') == [("media", "a", "cap"), ("text", "body text after", None)]
+    assert short('<figure><img src="a"></figure><figcaption>no figure</figcaption>') == [("media", "a", None), ("text", "no figure", None)]
+    assert short('<figure><figcaption>first <p>two</p></figcaption><img src="a"><img src="b"></figure>') == [("media", "a", "first two"), ("media", "b", "first two")]
+    assert short('x<figure><img src="a"><figcaption>never ends') == [("text", "x", None), ("media", "a", "never ends")]
+    assert short('<figure><figcaption>alone</figcaption></figure></figure>z') == [("text", "alone", None), ("text", "z", None)]
+    assert short('<figure><figure><img src="a"><figcaption>in</figcaption></figure><img src="b"><figcaption>out</figcaption></figure>') == [("media", "a", "in"), ("media", "b", "out")]
+
+
+def test_sequences_of_real_pages(spark):
+    """All text of a page's body is in its items, in order, and positions have no gap."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in media.sequences(pages).collect():
+        assert [x.pos for x in r["items"]] == list(range(len(r["items"])))
+        plain = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", " ", html[r.page_id])
+        bare = lambda x: re.sub(r"\s|&\w+;|[&©·]", "", x)
+        assert bare("".join(x.text for x in r["items"] if x.kind == "text")) == bare(re.sub(r"(?s)<[^>]*>", " ", plain)).replace("&", "")
 
 
 # Pipeline
