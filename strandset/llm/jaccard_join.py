@@ -29,6 +29,7 @@ a class. Very long texts are shingled whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, comb, log
 
 import numpy as np
@@ -68,6 +69,7 @@ def filter_miss(similarity: float, least: int, n: int) -> float:
     return sum(comb(n, i) * similarity**i * (1 - similarity) ** (n - i) for i in range(least))
 
 
+@lru_cache(maxsize=64)
 def least_equal(threshold: float, n: int) -> int:
     """Equal tokens of n from which a pair is verified: as many as FILTER_MISS allows."""
     return max(k for k in range(n + 1) if filter_miss(threshold, k, n) <= FILTER_MISS)
@@ -78,15 +80,17 @@ def tokens(shingles: np.ndarray, n: int) -> np.ndarray:
     if not len(shingles):
         return np.zeros(n, np.uint32)
     seeds = mix(np.arange(1, n // 2 + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    out = np.full((n // 2, 2), np.uint32(0xFFFFFFFF))
+    high, low = (np.full(n // 2, np.uint64(0xFFFFFFFFFFFFFFFF)) for _ in range(2))
     for i in range(0, len(shingles), 2048):
         x = shingles[None, i : i + 2048] ^ seeds[:, None]
         x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
+        high = np.minimum(high, x.min(axis=1))
         x ^= x >> np.uint64(32)
-        out = np.minimum(out, x.view(np.uint32).reshape(n // 2, -1, 2).min(axis=1))
-    return out.reshape(-1)
+        x <<= np.uint64(32)
+        low = np.minimum(low, x.min(axis=1))
+    return (np.stack([high, low], 1) >> np.uint64(32)).astype(np.uint32).reshape(-1)
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -226,7 +230,7 @@ def _likely(rows: list[dict], threshold: float = THRESHOLD) -> np.ndarray:
     for i in range(0, n, 64):
         some = open_[i : i + 64]
         many = np.count_nonzero(some)
-        if many > some.size // 16:
+        if many > max(2048, some.size // 16):
             same = np.zeros(some.shape, np.uint16 if s.shape[1] > 255 else np.uint8)
             for t in by_token:
                 same += t[i : i + 64, None] == t[None, :]
