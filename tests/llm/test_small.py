@@ -221,10 +221,35 @@ def test_line_dedup(spark, odd):
 
 # 6. Licence scans
 
+WRAPPED = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this
+software"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
 def test_licences(spark, odd):
-    docs = [*odd, (20, "some prose\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0."), (21, "her driving licence expired in the spring"), (22, "Licensed under CC BY-NC 4.0. Thank you."), (23, "This work is licensed under the GNU General Public License, version 3."), (None, "SPDX-License-Identifier: MPL-2.0")]
+    docs = [*odd, (20, "some prose.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0."), (21, "her driving licence expired in the spring"), (22, "Licensed under CC BY-NC 4.0. Thank you."), (23, "This work is licensed under the GNU General Public License, version 3."), (None, "SPDX-License-Identifier: MPL-2.0")]
+    docs += [(30, f"prose here\n \n{WRAPPED}\n\nmore prose"), (31, GPL), (32, "Dedicated under CC0 1.0 Universal"), (33, "Lizenz: MIT"), (34, "BSD 3-Clause"), (35, "Available under GPLv3"), (36, words(random.Random(1), 5000) + "\n\n" + WRAPPED), (37, None), (37, "")]
     got = {(r.doc_id, r.pos): r.license for r in licenses.scan(frame(spark, docs)).collect()}
-    assert got == {(20, 1): "mit", (20, 2): "apache-2.0", (21, 0): "unknown", (22, 0): "cc-by-nc", (23, 0): "gpl-3.0", (None, 0): "mpl-2.0"}
+    assert got == {(20, 1): "mit", (20, 2): "apache-2.0", (22, 0): "cc-by-nc", (23, 0): "gpl-3.0", (None, 0): "mpl-2.0", (30, 1): "mit", (31, 0): "gpl-3.0", (32, 0): "public-domain", (33, 0): "mit", (34, 0): "bsd", (35, 0): "gpl-3.0", (36, 1): "mit"}
+
+
+def test_licence_wordings_held_out():
+    """Every wording scored by a model that hasn't seen it; figures are in README."""
+    import numpy as np
+
+    classes, _, weights, temperature = licenses.train()
+    z, y = licenses.held_out()
+    p = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    best, sure, unknown = p.argmax(1), p.max(1) >= licenses.MIN_PROBABILITY, len(classes) - 1
+    named = (best != unknown) & sure
+    assert (best == y)[named].mean() > 0.65 and ((best == y) & named).sum() > 0.33 * (y != unknown).sum()
+    assert (named & (y == unknown)).sum() <= 2
+    assert abs(p.max(1)[sure].mean() - (best == y)[sure].mean()) < 0.15  # calibrated
 
 
 # 7. Quality classifier
