@@ -17,16 +17,9 @@ def islands_sql(name: str, src: str, keys: str = "contig", touching: bool = Fals
         FROM (SELECT *, CASE WHEN reach IS NULL OR s {op} reach THEN 1 ELSE 0 END AS nw FROM (SELECT {keys}, s, e, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {src} WHERE s < e))) GROUP BY {keys}, run)"""
 
 
-FEW = "few AS (SELECT * FROM reads WHERE h % 40 = 0)"
-
-
-def few(spark, d):
-    return reads(spark, d).where("h % 40 = 0")
-
-
-@query(RB + "SELECT contig, read_id, name, greatest(r.s, b.s) AS lo, least(r.e, b.e) AS hi FROM reads r JOIN bed b USING (contig) WHERE r.s < b.e AND b.s < r.e AND h % 4 = 0")
-def overlap_pairs(spark, d, where="h % 4 = 0"):
-    j = iv.range_join(reads(spark, d).where(where).select("contig", "read_id", "s", "e"), bed(spark, d), 100)
+@query(RB + "SELECT contig, read_id, name, greatest(r.s, b.s) AS lo, least(r.e, b.e) AS hi FROM reads r JOIN bed b USING (contig) WHERE r.s < b.e AND b.s < r.e")
+def overlap_pairs(spark, d):
+    j = iv.range_join(reads(spark, d).select("contig", "read_id", "s", "e"), bed(spark, d), 100)
     return j.select("contig", "read_id", F.col("r_name").alias("name"), F.greatest("s", "r_s").alias("lo"), F.least("e", "r_e").alias("hi"))
 
 
@@ -59,9 +52,9 @@ def bed_complement(spark, d):
     return iv.complement(bed(spark, d), r.groupBy("contig").agg(F.min("s").alias("s"), F.max("e").alias("e")))
 
 
-@query(with_(READS, FEW, islands_sql("i", "few")) + "SELECT contig, s, e, n FROM i")
-def overlap_islands(spark, d, rows=few):
-    return iv.islands(rows(spark, d))
+@query(with_(READS, islands_sql("i", "reads")) + "SELECT contig, s, e, n FROM i")
+def overlap_islands(spark, d):
+    return iv.islands(reads(spark, d))
 
 
 @query(RB[:-1] + ",\n" + islands_sql("i", "bed", touching=True) + " SELECT contig, s, e, n FROM i")
@@ -101,11 +94,11 @@ def subset_coverage(spark, d):
 FEAT = "feat AS (SELECT *, CAST(s % 3 AS BIGINT) AS cls FROM bed)"
 
 
-@query(with_(READS, BED, FEAT, "setz AS (SELECT contig, s, e, flag // 256 AS k FROM reads WHERE h % 10 = 0)", islands_sql("a", "setz", "contig, k", True), islands_sql("b", "feat", "contig, cls", True)) + """
+@query(with_(READS, BED, FEAT, "setz AS (SELECT contig, s, e, flag // 256 AS k FROM reads)", islands_sql("a", "setz", "contig, k", True), islands_sql("b", "feat", "contig, cls", True)) + """
     SELECT k, cls, bp, feature_bp, round(bp / feature_bp, 9) AS share FROM (SELECT k, cls, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS bp FROM a JOIN b ON a.contig = b.contig AND a.s < b.e AND b.s < a.e GROUP BY 1, 2)
     JOIN (SELECT cls, CAST(sum(e - s) AS BIGINT) AS feature_bp FROM b GROUP BY 1) USING (cls)""")
-def feature_overlap(spark, d, where="h % 10 = 0"):
-    sets = reads(spark, d).where(where).selectExpr("contig", "s", "e", "flag div 256 as k")
+def feature_overlap(spark, d):
+    sets = reads(spark, d).selectExpr("contig", "s", "e", "flag div 256 as k")
     out = iv.feature_overlap(sets, bed(spark, d).withColumn("cls", F.expr("s % 3")), "k", "cls", 200)
     return out.withColumn("share", F.round("share", 9))
 
@@ -119,9 +112,9 @@ def columns_segments(spark, d):
     return iv.segments(reads(spark, d))
 
 
-@query(with_(READS, FEW, DEPTH.replace("FROM reads", "FROM few")) + "SELECT seg.contig, seg.s, seg.e, string_agg(read_id, '|' ORDER BY read_id) AS read_ids, CAST(count(*) AS INTEGER) AS depth FROM seg JOIN few ON few.contig = seg.contig AND few.s < seg.e AND seg.s < few.e WHERE seg.e IS NOT NULL AND depth > 0 GROUP BY 1, 2, 3")
-def column_read_sets(spark, d, rows=few):
-    return iv.columns(rows(spark, d)).withColumn("read_ids", F.array_join("read_ids", "|"))
+@query(with_(READS, DEPTH) + "SELECT seg.contig, seg.s, seg.e, string_agg(read_id, '|' ORDER BY read_id) AS read_ids, CAST(count(*) AS INTEGER) AS depth FROM seg JOIN reads ON reads.contig = seg.contig AND reads.s < seg.e AND seg.s < reads.e WHERE seg.e IS NOT NULL AND depth > 0 GROUP BY 1, 2, 3")
+def column_read_sets(spark, d):
+    return iv.columns(reads(spark, d)).withColumn("read_ids", F.array_join("read_ids", "|"))
 
 
 @query(with_(READS, DEPTH, islands_sql("i", "reads")) + "SELECT i.contig, i.s AS island, CAST(any_value(i.n) AS BIGINT) AS n_reads, CAST(max(depth) AS BIGINT) AS n_colours, CAST(0 AS BIGINT) AS overlaps FROM i JOIN seg ON seg.contig = i.contig AND seg.s >= i.s AND seg.e <= i.e WHERE seg.e IS NOT NULL AND depth > 0 GROUP BY 1, 2")
@@ -141,15 +134,15 @@ def coverage_cap(spark, d):
 query()(coverage_cap)
 
 
-@query(with_(READS, BED) + ", b AS (SELECT contig, s AS pos FROM bed UNION SELECT contig, e FROM bed) SELECT r.contig, read_id, r.s AS pos, min(abs(b.pos - r.s)) AS distance FROM (SELECT * FROM reads WHERE h % 10 = 0) r LEFT JOIN b ON b.contig = r.contig GROUP BY 1, 2, 3")
-def nearest_boundary(spark, d, where="h % 10 = 0"):
+@query(with_(READS, BED) + ", b AS (SELECT contig, s AS pos FROM bed UNION SELECT contig, e FROM bed) SELECT r.contig, read_id, r.s AS pos, min(abs(b.pos - r.s)) AS distance FROM (SELECT * FROM reads) r LEFT JOIN b ON b.contig = r.contig GROUP BY 1, 2, 3")
+def nearest_boundary(spark, d):
     b = bed(spark, d)
     edges = b.select("contig", F.col("s").alias("pos")).union(b.select("contig", F.col("e").alias("pos")))
-    return iv.nearest_boundary(reads(spark, d).where(where).select("contig", "read_id", F.col("s").alias("pos")), edges, width=100)
+    return iv.nearest_boundary(reads(spark, d).select("contig", "read_id", F.col("s").alias("pos")), edges, width=100)
 
 
-@query(with_(READS) + ", few AS (SELECT * FROM reads WHERE h % 200 = 0) SELECT a.contig, a.read_id AS read_a, b.read_id AS read_b, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM few a JOIN few b ON a.contig = b.contig AND a.s < b.e AND b.s < a.e AND a.read_id < b.read_id WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 3")
-def shared_reads(spark, d, where="h % 200 = 0"):
-    f = reads(spark, d).where(where).select("contig", "read_id", "s", "e")
+@query(with_(READS) + " SELECT a.contig, a.read_id AS read_a, b.read_id AS read_b, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM reads a JOIN reads b ON a.contig = b.contig AND a.s < b.e AND b.s < a.e AND a.read_id < b.read_id WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 3")
+def shared_reads(spark, d):
+    f = reads(spark, d).select("contig", "read_id", "s", "e")
     j = iv.range_join(f, f, 100).where("read_id < r_read_id")
     return j.select("contig", F.col("read_id").alias("read_a"), F.col("r_read_id").alias("read_b"), (F.least("e", "r_e") - F.greatest("s", "r_s")).alias("shared")).where("shared >= 3")

@@ -180,11 +180,11 @@ def haplotype_posteriors(spark, d):
 PAIRS = ", ".join("{'k': %d, 'v': %s}" % (i * 5 + j, _lse([f"(p{r} + ({math.log(HET[r][i]) + math.log(HET[r][j])!r}))" for r in K]) + f" + la{i} + lb{j}") for i in K for j in K)
 
 
-@query(with_(READS, OBS, AB, LOGS) + f""", pr AS (SELECT contig, pos, u.k AS pair, u.v AS v FROM (SELECT contig, pos, unnest([{PAIRS}]) AS u FROM lg WHERE pos % 11 = 0)),
+@query(with_(READS, OBS, AB, LOGS) + f""", pr AS (SELECT contig, pos, u.k AS pair, u.v AS v FROM (SELECT contig, pos, unnest([{PAIRS}]) AS u FROM lg)),
     tp AS (SELECT *, max(v) OVER (PARTITION BY contig, pos) AS m FROM pr), tt AS (SELECT contig, pos, pair, v, m + ln(sum(exp(v - m)) OVER (PARTITION BY contig, pos)) AS t FROM tp)
     SELECT contig, pos, pair, round(greatest(0, least(1000, -10 * (v - t) / {math.log(10)!r})), 4) AS gl FROM tt""")
-def genotype_likelihoods(spark, d, where="pos % 11 = 0"):
-    sites = _sites(spark, d).where(where)
+def genotype_likelihoods(spark, d):
+    sites = _sites(spark, d)
     return genotype.likelihoods(sites).select("contig", "pos", F.posexplode("gl").alias("pair", "gl")).withColumn("gl", F.round("gl", 4))
 
 
@@ -223,10 +223,10 @@ def partition_algebra(spark, d):
     return t.select("k", "m", "dep", bits.weight(F.col("p")).alias("weight"), "p", bits.invert(F.col("p"), F.col("dep")).alias("inv"), bits.flip(F.col("p"), F.col("j")).alias("flipped"), bits.bit(F.col("p"), F.col("j")).alias("tested"))
 
 
-@query(WO + "SELECT contig, pos, ch, k, CAST(sum(CASE WHEN (w >> k) & 1 = 1 AND h % 2 = 0 THEN 1 ELSE 0 END) << k AS BIGINT) AS part FROM obs, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS t(k) WHERE contig LIKE 'A%' GROUP BY 1, 2, 3, 4 HAVING sum(CASE WHEN (w >> k) & 1 = 1 AND h % 2 = 0 THEN 1 ELSE 0 END) > 0")
-def bit_slice_counts(spark, d, where="contig like 'A%'"):
+@query(WO + "SELECT contig, pos, ch, k, CAST(sum(CASE WHEN (w >> k) & 1 = 1 AND h % 2 = 0 THEN 1 ELSE 0 END) << k AS BIGINT) AS part FROM obs, (VALUES (0), (1), (2), (3), (4), (5), (6), (7)) AS t(k) GROUP BY 1, 2, 3, 4 HAVING sum(CASE WHEN (w >> k) & 1 = 1 AND h % 2 = 0 THEN 1 ELSE 0 END) > 0")
+def bit_slice_counts(spark, d):
     """Weights of haplotype 1 by bit plane; their sum over planes is the weight itself."""
-    obs = _obs(spark, d).where(where).where("h % 2 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("shiftright(w, k) & 1 = 1")
+    obs = _obs(spark, d).where("h % 2 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).where("shiftright(w, k) & 1 = 1")
     return obs.groupBy("contig", "pos", "ch", "k").agg(F.count(F.lit(1)).alias("n")).select("contig", "pos", "ch", "k", F.expr("shiftleft(n, k)").alias("part"))
 
 

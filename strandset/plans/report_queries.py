@@ -131,27 +131,27 @@ def average_depth(spark, d):
     return _rounded(reports.average_depth(table(spark, d, "events").selectExpr("event_type as file", "cast(floor(value) as int) as dp")), "mean_depth")
 
 
-BLOCKS = "blocks AS (SELECT CAST(o_custkey % 3 AS INTEGER) AS file, concat('c', CAST(o_orderkey % 4 AS VARCHAR)) AS contig, o_orderkey % 200 * 10 AS s, o_orderkey % 200 * 10 + 10 + o_custkey % 4 * 10 AS e FROM orders WHERE o_orderkey % 7 = 0)"
+BLOCKS = "blocks AS (SELECT CAST(o_custkey % 3 AS INTEGER) AS file, concat('c', CAST(o_orderkey % 4 AS VARCHAR)) AS contig, o_orderkey % 9000 * 10 AS s, o_orderkey % 9000 * 10 + 10 + o_custkey % 4 * 10 AS e FROM orders)"
 
 
-def _blocks(spark, d, where="o_orderkey % 7 = 0"):
-    return table(spark, d, "orders").where(where).selectExpr("cast(o_custkey % 3 as int) as file", "concat('c', cast(o_orderkey % 4 as string)) as contig", "o_orderkey % 200 * 10 as s", "o_orderkey % 200 * 10 + 10 + o_custkey % 4 * 10 as e")
+def _blocks(spark, d):
+    return table(spark, d, "orders").selectExpr("cast(o_custkey % 3 as int) as file", "concat('c', cast(o_orderkey % 4 as string)) as contig", "o_orderkey % 9000 * 10 as s", "o_orderkey % 9000 * 10 + 10 + o_custkey % 4 * 10 as e")
 
 
 @query("WITH " + BLOCKS + " SELECT agreement, CAST(count(*) AS BIGINT) AS blocks, round(avg(e - s), 6) AS mean_len, round(stddev_pop(e - s), 6) AS std_len FROM (SELECT contig, s, e, CAST(count(DISTINCT file) AS BIGINT) AS agreement FROM blocks GROUP BY 1, 2, 3) GROUP BY 1")
-def block_agreement(spark, d, where="o_orderkey % 7 = 0"):
-    return _rounded(reports.block_agreement(_blocks(spark, d, where)), "mean_len", "std_len")
+def block_agreement(spark, d):
+    return _rounded(reports.block_agreement(_blocks(spark, d)), "mean_len", "std_len")
 
 
 @query("WITH " + BLOCKS + ", one AS (SELECT contig, s, e, min(file) AS file FROM blocks GROUP BY 1, 2, 3 HAVING count(DISTINCT file) = 1), b AS (SELECT DISTINCT * FROM blocks) SELECT one.file, one.contig, one.s, one.e, CAST(count(*) AS BIGINT) AS meets, CAST(count(*) FILTER (one.s <= b.s AND b.e <= one.e) AS BIGINT) AS contains, CAST(count(*) FILTER (b.s <= one.s AND one.e <= b.e) AS BIGINT) AS within, CAST(count(*) FILTER (NOT (one.s <= b.s AND b.e <= one.e) AND NOT (b.s <= one.s AND one.e <= b.e)) AS BIGINT) AS crosses FROM one JOIN b ON one.contig = b.contig AND one.s < b.e AND b.s < one.e AND one.file <> b.file GROUP BY 1, 2, 3, 4")
-def block_containment(spark, d, where="o_orderkey % 7 = 0"):
-    return reports.block_containment(_blocks(spark, d, where), 100)
+def block_containment(spark, d):
+    return reports.block_containment(_blocks(spark, d), 100)
 
 
-@query("SELECT prefix, CAST(count(*) AS BIGINT) AS n FROM (SELECT concat('s', user_id % 50, '.', event_type) AS prefix FROM events WHERE event_id % 3 = 0) GROUP BY 1 HAVING count(*) < 15")
-def incomplete_prefixes(spark, d, where="event_id % 3 = 0"):
-    names = table(spark, d, "events").where(where).selectExpr("concat('s', user_id % 50, '.', event_type, '.', event_id) as name")
-    return reports.incomplete_prefixes(names, 2, 15)
+@query("SELECT prefix, CAST(count(*) AS BIGINT) AS n FROM (SELECT concat('s', user_id % 50, '.', event_type) AS prefix FROM events) GROUP BY 1 HAVING count(*) < 40")
+def incomplete_prefixes(spark, d):
+    names = table(spark, d, "events").selectExpr("concat('s', user_id % 50, '.', event_type, '.', event_id) as name")
+    return reports.incomplete_prefixes(names, 2, 40)
 
 
 @query("SELECT round(sum(CASE WHEN event_id % 4 >= 2 THEN 1 ELSE 0 END) / sum(CASE WHEN event_id % 4 <> 0 THEN 1 ELSE 0 END), 9) AS sensitivity, round(sum(CASE WHEN event_id % 4 >= 2 THEN 1 ELSE 0 END) / sum(CASE WHEN event_id % 4 <> 1 THEN 1 ELSE 0 END), 9) AS precision, CAST(NULL AS DOUBLE) AS switch_rate FROM events")
