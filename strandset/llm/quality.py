@@ -181,15 +181,16 @@ def _fold():
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> AdditiveModel:
     """Fit on labelled documents outside the held-out fold (crc32 of doc_id as text, mod 4, is 2).
 
-    Rows without a label, or with one other than 0 and 1, have no part; of more than max_rows, those with the
-    smallest CRC-32 of doc_id are taken, a sample that doesn't depend on order. Without rows the
-    model scores all texts alike.
+    Rows without a label, or with one other than 0 and 1, have no part, nor have documents that are labelled both;
+    of more than max_rows, those with the smallest CRC-32 of doc_id are taken, a sample that doesn't depend on
+    order. Where a doc_id has several texts each is a row, 2 * max_rows at most in the same order. Without rows
+    the model scores all texts alike.
     """
     mine = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (_fold() != 2))
-    mine = mine.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(max_rows)
+    by_hash = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    mine = mine.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("y").alias("_least")).where("y = _least").drop("_least").orderBy(by_hash, "doc_id").limit(max_rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id")  # at most max_rows rows
-    rows = sorted(featured(chosen).join(F.broadcast(mine), "doc_id").select("doc_id", "x", "y").collect())
-    rows = rows[: 2 * max_rows]
+    rows = sorted(featured(chosen).join(F.broadcast(mine), "doc_id").select("doc_id", "x", "y").orderBy(by_hash, "doc_id", "x").limit(2 * max_rows).collect())
     return fit(np.array([r.x for r in rows], float).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], float))
 
 
@@ -212,7 +213,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns they had."""
+    """The documents that the classifier doesn't reject, with the columns they had.
+
+    Each row is judged by its whole text alone, a null one as empty: equal texts fare alike, rows that repeat stay
+    as often as they were, extra columns are carried along, and an empty table gives an empty table.
+    """
     sent = spark.sparkContext.broadcast(train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
     @F.pandas_udf("double")

@@ -2,8 +2,12 @@
 
 Each dimension is quantised to 16 steps, the cell's place on the curve orders the rows, and the
 ordered rows are cut into runs whose counts differ by one at most. No step needs a global sort:
-a cell is dealt over SALTS sub-cells by the hash of doc_id, the sub-cells are counted, and the
-sums of the counts before a sub-cell give its first rank.
+a cell is dealt over SALTS sub-cells by the hash of doc_id and text, the sub-cells are counted, and
+the sums of the counts before a sub-cell give its first rank.
+
+Language and source are quantised by CRC-32, size by its power of two from 8 bytes (null text) to
+256 KiB and more. Law `rows` comes first: equal texts lie in one cell, but in any of its sub-cells,
+as a text that a third of all rows repeat can't stay in one shard.
 """
 from __future__ import annotations
 
@@ -71,7 +75,7 @@ def hilbert_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), source.alias("source"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     rows = rows.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source")
-    step = F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.col("size")))).cast("int")
+    step = F.least(F.lit((1 << BITS) - 1), F.length(F.bin("size")) - 4).cast("int")  # size is 8 at least
     rows = rows.select("doc_id", "size", "text_crc32", curve_column([category("lang"), category("source"), step]).alias("curve"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int").alias("salt"))
     sub = rows.groupBy("curve", "salt").agg(F.count(F.lit(1)).alias("n"))
     cells = sub.groupBy("curve").agg(F.sum("n").alias("cell"))  # at most 4096

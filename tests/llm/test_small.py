@@ -1,9 +1,13 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows and columns that clash."""
 import hashlib
+import math
 import random
+import struct
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strandset.llm import _util, byte_bpe, decontaminate, jaccard_join, licenses, line_dedup, media, quality, queries, sharding, suffix_dedup, url_filter
@@ -269,8 +273,90 @@ def test_quality_learns_and_holds_out(spark, odd):
     assert quality.score(frame(spark, odd), quality.train(df, labels)).count() == len(odd)
 
 
+def test_quality_takes_labels_that_agree_and_bounded_rows(spark):
+    r = random.Random(3)
+    docs = frame(spark, [(i % 40, words(r, 30) if i % 2 else "!!! " * 20) for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    clash = labels.union(spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(0, 40, 3)], labels.schema))
+    kept = labels.where("doc_id % 3 <> 0")
+    assert vars(quality.train(docs, clash))["bias"] == vars(quality.train(docs, kept))["bias"]
+    seen = []
+    real, quality.fit = quality.fit, lambda x, y: seen.append(len(y)) or real(x, y)
+    try:
+        quality.train(docs, labels, 5)  # 5 labels have 50 rows
+    finally:
+        quality.fit = real
+    assert seen == [10]
+
+
+def test_quality_score_is_the_sum_of_table_entries():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(300, 3))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), rounds=5, pair_rounds=5, pairs=2)
+    for row, got in zip(x, model.score(x)):
+        total = model.bias
+        for j, (cut, scores) in enumerate(zip(model.cuts, model.single)):
+            total += scores[sum(c <= row[j] for c in cut)]
+        for a, b, scores in model.pairs:
+            total += scores[sum(c <= row[a] for c in model.coarse[a])][sum(c <= row[b] for c in model.coarse[b])]
+        assert abs(got - 1 / (1 + math.exp(-total))) < 1e-12
+
+
 # 8. Sharding
 
+def brute_shards(docs, shards=24):
+    """(doc_id, size, crc) to shard and slot: all rows in one list, sorted by curve index, salt and values."""
+    def hashed(v, seed):
+        return seed if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
+
+    def step(v):
+        return 0 if v is None else zlib.crc32(v.encode()) % 16
+
+    order = []
+    for d, t, lang, source in docs:
+        raw = (t or "").encode()
+        size, crc = len(raw) + 8, zlib.crc32(raw)
+        cell = (step(lang), step(source), min(15, int(math.log2(size)) - 3))
+        h = hashed(crc, hashed(d, 42))
+        order.append((sharding.hilbert_index(cell, 4), h % 1024, d is not None, d or 0, size, crc))
+    order.sort()
+    starts = [-(-k * len(order) // shards) for k in range(shards + 1)]
+    out = {}
+    for k in range(shards):
+        for slot, (_, _, known, d, size, crc) in enumerate(order[starts[k] : starts[k + 1]]):
+            out.setdefault((d if known else None, size, crc), []).append((k, slot))
+    return out
+
+
+def test_shards_equal_one_sorted_list(spark):
+    r = random.Random(8)
+    docs = [(None if i % 97 == 0 else i % 700, None if i % 31 == 0 else words(r, r.choice([0, 3, 40, 900])), r.choice([None, "en", "de"]), "hot" if i % 3 else f"s{i % 9}") for i in range(800)]
+    docs += [docs[5]] * 3
+    rows = sharding.hilbert_shards(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    got = {}
+    for x in rows:
+        got.setdefault((x.doc_id, x.size, x.text_crc32), []).append((x.shard, x.slot))
+    want = brute_shards(docs)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_written_shards_are_pruned(spark, tmp_path):
+    """Rows come back from their shards in slot order, and ranges of the shards let a reader skip most of them."""
+    r = random.Random(4)
+    docs = [(i, words(r, r.choice([2, 30, 400])), r.choice(["en", "de", "fr", "it"]), f"s{r.randrange(6)}") for i in range(1200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    plan = sharding.hilbert_shards(df)
+    sharding.write_shards(df, plan, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((x.doc_id, x.shard, x.slot) for x in back) == sorted((x.doc_id, x.shard, x.slot) for x in plan.collect())
+    ranges = sharding.shard_ranges(df, plan).collect()
+    for lang in ("en", "de"):
+        need = {x.shard for x in back if x.lang == lang}
+        met = {x.shard for x in ranges if x.min_lang <= lang <= x.max_lang}
+        assert need <= met
+        assert len(need) <= 16 and sum(x.rows for x in ranges) == 1200  # hashed doc_ids would need all 24
+
+
 def test_shards(spark, odd):
     docs = frame(spark, [*odd, *((1000 + i, "t" * (i % 90)) for i in range(203))])
     rows = sharding.hilbert_shards(docs).collect()
