@@ -13,6 +13,7 @@ from strandset.sources.formats import Params
 from strandset.sources.shared import settled
 
 CHUNK = 10_000  # reference positions in a row
+PHASED, MARGIN = 50_000, 5_000  # positions phased in one task, and what it sees of its neighbours
 
 
 @dataclass
@@ -33,8 +34,11 @@ def with_reference(sites: DataFrame, fasta: DataFrame) -> DataFrame:
     return j.withColumn("ref_ch", base_code(F.substring(F.col("_seq"), (F.pmod(F.col("pos") - 1, F.lit(CHUNK)) + 1).cast("int"), F.lit(1)))).drop("_bin", "_seq")
 
 
-def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: DataFrame | None = None) -> Result:
-    """Genotype and phase alignments (contig, read_id, flag, pos, mapq, cigar, seq)."""
+def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: DataFrame | None = None, size: int = PHASED, margin: int = MARGIN) -> Result:
+    """Genotype and phase alignments (contig, read_id, flag, pos, mapq, cigar, seq).
+
+    Islands much longer than `size` are phased in chunks that see `margin` positions of their neighbours, and stitched.
+    """
     het = Params.matrix(params.haplotypeSubstitutionModel) if params.haplotypeSubstitutionModel else pileup.HET
     error = Params.matrix(params.readErrorModel) if params.readErrorModel else pileup.READ_ERROR
     ops = align.cigar_ops(F.col("cigar"))
@@ -63,9 +67,11 @@ def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: D
     if params.filterLikelyHomozygousSites:
         hets = pileup.heterozygous(counts, params.minSecondMostFrequentBaseFilter, params.minSecondMostFrequentBaseLogProbFilter, error).where("included").select("contig", "pos")
         model = model.join(hets, ["contig", "pos"], "left_semi")
+    spans = settled(reads.groupBy("contig", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")))
+    phased = lambda obs, beam, het, error, *least: hmm.phase_chunks(obs, spans, size, margin, beam, het, error, *least)
     if params.trainingIterations:
-        error = hmm.train(model, params.trainingIterations, params.maxPartitionsInAColumn, params.offDiagonalReadErrorPseudoCount, error, het)
-    hap = hmm.phase_islands(model, params.maxPartitionsInAColumn, het, error, params.minPartitionsInAColumn, params.minPosteriorProbabilityForPartition)
+        error = hmm.train(model, params.trainingIterations, params.maxPartitionsInAColumn, params.offDiagonalReadErrorPseudoCount, error, het, phased)
+    hap = phased(model, params.maxPartitionsInAColumn, het, error, params.minPartitionsInAColumn, params.minPosteriorProbabilityForPartition)
     hap = settled(hap.select("contig", "read_id", (F.col("haplotype") == 1).alias("first")))
     bare = obs.drop("ref_ch").withColumnRenamed("prior_ch", "ref_ch")
     called = lambda mine: genotype.calls(emission.both_haplotypes(mine, F.col("first"), "contig", "island", "pos", "ref_ch"), het, error)
@@ -76,7 +82,6 @@ def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: D
     # Fragments: islands, cut where too few reads link neighbouring heterozygous sites.
     het_sites = calls.where("h1 <> h2").select("contig", "pos")
     weak = variants.linked_fragments(het_sites, reads, params.minReadCoverageToSupportPhasingBetweenHeterozygousSites).where("split is not null").select("contig", F.col("split").alias("s"))
-    spans = reads.groupBy("contig", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     cuts = spans.select("contig", "s").union(weak).distinct()
     ends = cuts.withColumn("next", F.lead("s").over(Window.partitionBy("contig").orderBy("s")))
     frags = intervals.range_join(ends.where("next is not null").select("contig", "s", F.col("next").alias("e")), spans.select("contig", "s", "e"))

@@ -31,14 +31,14 @@ READS = """reads AS (SELECT concat(l_returnflag, CAST(l_suppkey % 10 AS VARCHAR)
     CAST(round(l_tax * 1000) AS INTEGER) AS mapq, CAST(l_linenumber * 256 AS INTEGER) AS flag FROM lineitem)"""
 
 
-def observations(rows: DataFrame) -> DataFrame:
-    """contig, read_id, h, pos, ch, w: what each read says of each position; weights of a position sum to 255."""
-    each = rows.select("contig", "read_id", "h", F.explode(F.expr("sequence(s, e - 1)")).alias("pos"))
+def observations(rows: DataFrame, *more: str) -> DataFrame:
+    """contig, read_id, h, pos, ch, w and the named columns: what each read says of each position; weights of a position sum to 255."""
+    each = rows.select("contig", "read_id", "h", *more, F.explode(F.expr("sequence(s, e - 1)")).alias("pos"))
     ch = F.expr("""cast(case when (h * 3 + pos) % 29 = 0 then 4 when (h * 31 + pos * 17) % 20 = 0 then (pos * 7 + 5) % 4
         when pos % 11 = 0 and h % 2 = 1 then (pos * 7 + 4) % 4 else (pos * 7 + 3) % 4 end as int)""")
     each = each.withColumn("ch", ch)
     alternatives = F.expr("case when (h + pos) % 13 = 0 then array(named_struct('ch', ch, 'w', 200L), named_struct('ch', (ch + 1) % 5, 'w', 55L)) else array(named_struct('ch', ch, 'w', 255L)) end")
-    return each.select("contig", "read_id", "h", "pos", F.explode(alternatives).alias("x")).select("contig", "read_id", "h", "pos", "x.ch", "x.w")
+    return each.select("contig", "read_id", "h", *more, "pos", F.explode(alternatives).alias("x")).select("contig", "read_id", "h", *more, "pos", "x.ch", "x.w")
 
 
 OBS = """obs0 AS (SELECT contig, read_id, h, unnest(range(s, e)) AS pos FROM reads),

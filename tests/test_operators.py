@@ -1,3 +1,4 @@
+import bisect
 import itertools
 import random
 
@@ -174,6 +175,35 @@ def test_simulated_reads_are_phased(spark):
     assert all(abs(sum(row) - 1) < 1e-6 and row[i] == max(row) for i, row in enumerate(learnt[:4]))
 
 
+def test_chunks_of_a_long_island_are_stitched(spark):
+    """40,000 positions at depth 30 with noisy reads: in chunks as good as whole, within 0.01, and each task bounded."""
+    r = random.Random(40)
+    hets = sorted(r.sample(range(40_000), 500))
+    alleles = {p: r.sample(range(4), 2) for p in hets}
+    rows, spans = [], []
+    for i in range(1200):
+        s, hap = r.randrange(0, 39_000), i % 2
+        spans.append((s, s + 1000))
+        for p in hets[bisect.bisect_left(hets, s) : bisect.bisect_left(hets, s + 1000)]:
+            rows.append(("c", 0, f"r{i:04d}", p, alleles[p][hap] if r.random() > 0.1 else r.randrange(5), 255, alleles[p][0]))
+    obs = spark.createDataFrame(rows, "contig string, island long, read_id string, pos long, ch int, w long, ref_ch int")
+    island = spark.createDataFrame([("c", 0, min(s for s, _ in spans), max(e for _, e in spans))], "contig string, island long, s long, e long")
+
+    def right(df):
+        got = df.collect()
+        agree = sum((x.haplotype == 1) == (int(x.read_id[1:]) % 2 == 0) for x in got)
+        assert len(got) == len({x[2] for x in rows}) and all((x.posterior >= 0.5) == (x.haplotype == 1) or 0.01 < x.posterior < 0.99 for x in got)
+        return max(agree, len(got) - agree) / len(got)
+
+    whole, parts = right(hmm.phase_islands(obs, 50)), right(hmm.phase_chunks(obs, island, 5000, 1000, 50))
+    assert whole >= 0.97 and abs(whole - parts) <= 0.01
+    pieces = hmm.chunked(obs, island, 5000, 1000).groupBy("idx").agg(F.min("pos").alias("a"), F.max("pos").alias("z")).collect()
+    assert len(pieces) == 8 and all(x.z - x.a <= 7000 for x in pieces)
+    one = hmm.chunked(obs, island, 50_000, 1000)
+    assert one.count() == len(rows) and one.select("idx").distinct().count() == 1
+    assert hmm.phase_chunks(obs.limit(0), island, 5000, 1000).count() == 0
+
+
 def _moves(spark):
     obs = spark.createDataFrame([("c", f"r{i}", p, (0 if i % 2 else 1), 255) for i in range(10) for p in range(5)], "contig string, read_id string, pos long, ch int, w long")
     start = spark.createDataFrame([(f"r{i}", i in (0, 1, 3, 5, 7, 9)) for i in range(10)], "read_id string, first boolean")
