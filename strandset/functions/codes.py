@@ -90,6 +90,13 @@ def chunk_rank(contig: Column, index: Column) -> Column:
     return number * 1000 + index
 
 
+def file_tokens(name: Column, *names: str) -> Column:
+    """A struct of the dot-separated parts of a file's name, by place (null where there are fewer), and kind: np, pb or null by what it contains."""
+    bare = F.element_at(F.split(name, "/"), -1)
+    parts = [F.get(F.split(bare, r"\."), F.lit(i)).alias(n) for i, n in enumerate(names)]
+    return F.struct(*parts, F.when(bare.contains("np"), "np").when(bare.contains("pb"), "pb").alias("kind"))
+
+
 def arm_ratio(pos: Column, size: Column, cen_start: Column, cen_end: Column) -> Column:
     """Distance from the centromere as a share of the arm's length; negative inside the centromere's half."""
     above = pos >= (cen_start + cen_end) / 2

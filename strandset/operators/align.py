@@ -69,7 +69,7 @@ def expand(alignments: DataFrame, gaps: bool = True) -> DataFrame:
     carry no information and are absent. Insertions and clips cover no position.
     """
     ops = F.explode(placed_ops(cigar_ops(F.col("cigar"))))
-    each = alignments.select("contig", "read_id", F.col("pos").alias("s"), "seq", ops.alias("o")).where(F.col("o.op").isin(*("MDN=X" if gaps else "M=X")))
+    each = alignments.select("contig", "read_id", F.col("pos").alias("s"), "seq", ops.alias("o")).where("o.n > 0").where(F.col("o.op").isin(*("MDN=X" if gaps else "M=X")))
     each = each.select("contig", "read_id", "s", "seq", "o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o.n") - 1)).alias("i"))
     ch = F.when(F.col("o.op").isin("D", "N"), F.lit(GAP)).otherwise(base_code(F.substring(F.col("seq"), (F.col("o.q") + F.col("i") + 1).cast("int"), F.lit(1))))
     out = each.select("contig", "read_id", (F.col("s") + F.col("o.r") + F.col("i")).alias("pos"), ch.cast("int").alias("ch"), F.lit(255).cast("long").alias("w"))

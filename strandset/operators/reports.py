@@ -24,7 +24,7 @@ def depth_bins(reads: DataFrame, spacing: int, dense: bool = False) -> DataFrame
 
 
 def in_range(bins: DataFrame, spacing: int, start: int, end: int) -> DataFrame:
-    """Bins from start to end (positions); raises where the range lies outside of what there is."""
+    """Bins from start to end (positions), as far as there are any; an empty or negative range raises."""
     if not 0 <= start < end:
         raise ValueError("the range must not be empty or negative")
     return bins.where((F.col("bin") >= start // spacing) & (F.col("bin") < end // spacing))
@@ -115,6 +115,18 @@ def bucket_coverage(intervals: DataFrame, width: int) -> DataFrame:
     return by.select("contig", "bucket", "bp", (F.col("bp") / width).alias("density"), (F.col("bp") / width - F.avg("bp").over(w) / width).alias("over_mean"), (F.col("bp") / F.sum("bp").over(w)).alias("share"))
 
 
+def covered_total(depths: DataFrame, *keys: str) -> DataFrame:
+    """keys, share: the summed fractions of the rows (depth, fraction) that have a depth of one at least."""
+    return depths.groupBy(*keys).agg(F.sum(F.when(F.col("depth") >= 1, F.col("fraction")).otherwise(F.lit(0.0))).alias("share"))
+
+
+def within_call_range(intervals: DataFrame, calls: DataFrame) -> DataFrame:
+    """contig, bp, and the total as a row with a null contig: bases of intervals between a contig's first and last call."""
+    span = calls.groupBy("contig").agg(F.min("pos").alias("_a"), F.max("pos").alias("_z"))
+    inside = F.greatest(F.lit(0).cast("long"), F.least("e", "_z") - F.greatest("s", "_a"))
+    return intervals.join(span, "contig").rollup("contig").agg(F.sum(inside).alias("bp"))
+
+
 def equal_buckets(low: float, high: float, n: int) -> list[float]:
     return [low + i * (high - low) / n for i in range(n + 1)]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandset.functions.codes import GAP, base_char, variant_class
+from strandset.functions.codes import GAP, N_SYMBOLS, base_char, phred_quality, variant_class
 from strandset.functions.tags import encode
 
 from .intervals import range_join
@@ -17,6 +17,15 @@ def _genotype(ref: Column, one: Column, two: Column) -> tuple[Column, Column]:
     return alt, gt
 
 
+def _genotype_values(gt: Column, at: Column) -> Column:
+    """Values of at.gl for the genotypes of a row's alleles: one for the reference, two more with an alternative, three more with two."""
+    value = lambda a, b: F.element_at(at["gl"], (a * N_SYMBOLS + b + 1).cast("int"))
+    ref, one = at["ref_ch"], F.when(gt == "0|1", at["h2"]).otherwise(at["h1"])
+    first = [value(ref, ref), value(ref, one), value(one, one)]
+    two = at["h2"]
+    return F.when(gt == "0|0", F.array(first[0])).when(gt == "1|2", F.array(*first, value(ref, two), value(one, two), value(two, two))).otherwise(F.array(*first))
+
+
 def variant_rows(calls: DataFrame, hom_ref: bool = False) -> DataFrame:
     """contig, frag, pos, ref, alt, gt, dp, ac, kind from calls (contig, frag, pos, ref_ch, h1, h2, depth1, depth2).
 
@@ -24,7 +33,13 @@ def variant_rows(calls: DataFrame, hom_ref: bool = False) -> DataFrame:
     one indel row: alleles are the symbols without gaps, `*` if none is left. Other positions that
     differ from the reference make a row each; those that don't, only if hom_ref. ac is the depth
     of the haplotypes that carry each alternative.
+
+    Calls with gt_p give rows with qual, of the row's first position; calls with gl (25 values by
+    ordered pair of symbols) give rows with gl, the values of the genotypes of the reference and the
+    alternatives in the usual order (00, 01, 11, 02, 12, 22), for an indel at its first gap.
     """
+    has_p, has_gl = "gt_p" in calls.columns, "gl" in calls.columns
+    symbols = F.struct("ref_ch", "h1", "h2", *(["gl"] if has_gl else []))
     w = Window.partitionBy("contig", "frag").orderBy("pos")
     gap = (F.col("h1") == GAP) | (F.col("h2") == GAP)
     c = calls.withColumn("_gap", gap)
@@ -34,15 +49,16 @@ def variant_rows(calls: DataFrame, hom_ref: bool = False) -> DataFrame:
     c = c.withColumn("_run", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     text = lambda x: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", F.col(x).alias("ch")))), lambda s: s["ch"] != GAP), lambda s: base_char(s["ch"])), "")
     some = lambda x: F.when(x == "", "*").otherwise(x)
-    runs = c.where("_in").groupBy("contig", "frag", "_run").agg(F.min("pos").alias("pos"), *(some(text(x)).alias(n) for x, n in (("ref_ch", "ref"), ("h1", "one"), ("h2", "two"))), F.min("depth1").alias("depth1"), F.min("depth2").alias("depth2")).drop("_run")
-    single = c.where("not _in").select("contig", "frag", "pos", *(base_char(F.col(x)).alias(n) for x, n in (("ref_ch", "ref"), ("h1", "one"), ("h2", "two"))), "depth1", "depth2")
+    runs = c.where("_in").groupBy("contig", "frag", "_run").agg(F.min("pos").alias("pos"), *(some(text(x)).alias(n) for x, n in (("ref_ch", "ref"), ("h1", "one"), ("h2", "two"))), F.min("depth1").alias("depth1"), F.min("depth2").alias("depth2"), *([F.min_by("gt_p", "pos").alias("gt_p")] if has_p else []), *([F.min_by(symbols, F.when(F.col("_gap"), F.col("pos"))).alias("_at")] if has_gl else [])).drop("_run")
+    single = c.where("not _in").select("contig", "frag", "pos", *(base_char(F.col(x)).alias(n) for x, n in (("ref_ch", "ref"), ("h1", "one"), ("h2", "two"))), "depth1", "depth2", *(["gt_p"] if has_p else []), *([symbols.alias("_at")] if has_gl else []))
     every = runs.unionByName(single)
     alt, gt = _genotype(F.col("ref"), F.col("one"), F.col("two"))
     out = every.withColumn("gt", gt)
     out = out.withColumn("gt", F.coalesce("gt", F.lit("0|0"))) if hom_ref else out.where("gt is not null")
     ac = F.when(F.col("gt") == "0|1", F.col("depth2").cast("string")).when(F.col("gt") == "1|0", F.col("depth1").cast("string")).when(F.col("gt") == "1|1", (F.col("depth1") + F.col("depth2")).cast("string")).when(F.col("gt") == "1|2", F.concat_ws(",", F.col("depth1").cast("string"), F.col("depth2").cast("string"))).otherwise("0")
     alt = F.when(F.col("gt") == "0|0", ".").otherwise(alt)
-    return out.select("contig", "frag", "pos", "ref", alt.alias("alt"), "gt", (F.col("depth1") + F.col("depth2")).alias("dp"), ac.alias("ac")).withColumn("kind", F.when(F.col("gt") == "0|0", "REF").otherwise(variant_class(F.col("ref"), F.col("alt"))))
+    scores = ([phred_quality(F.col("gt_p")).alias("qual")] if has_p else []) + ([_genotype_values(F.col("gt"), F.col("_at")).alias("gl")] if has_gl else [])
+    return out.select("contig", "frag", "pos", "ref", alt.alias("alt"), "gt", (F.col("depth1") + F.col("depth2")).alias("dp"), ac.alias("ac"), *scores).withColumn("kind", F.when(F.col("gt") == "0|0", "REF").otherwise(variant_class(F.col("ref"), F.col("alt"))))
 
 
 def phased(rows: DataFrame) -> DataFrame:

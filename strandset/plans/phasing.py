@@ -19,7 +19,7 @@ PHASED, MARGIN = 50_000, 5_000  # positions phased in one task, and what it sees
 @dataclass
 class Result:
     reads: DataFrame  # contig, read_id, s, e, hap
-    calls: DataFrame  # contig, frag, pos, ref_ch, h1, h2, gt, gt_p, depths
+    calls: DataFrame  # contig, frag, pos, ref_ch, h1, h2, gt, gt_p, gl, depths
     fragments: DataFrame  # contig, frag, s, e
     variants: DataFrame  # rows with ps
     tags: DataFrame  # read_id, tags, text
@@ -78,7 +78,8 @@ def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: D
     if params.roundsOfIterativeRefinement:
         better = genotype.refine(bare, called, hap.select("read_id", "first"), params.roundsOfIterativeRefinement, settled)
         hap = reads.select("contig", "read_id").join(better, "read_id")
-    calls = settled(called(bare.join(hap, ["contig", "read_id"])).drop("ref_ch").join(sites.select("contig", "pos", "ref_ch"), ["contig", "pos"]))
+    calls = genotype.likelihoods(called(bare.join(hap, ["contig", "read_id"])), het, error)
+    calls = settled(calls.drop("ref_ch").join(sites.select("contig", "pos", "ref_ch"), ["contig", "pos"]))
     # Fragments: islands, cut where too few reads link neighbouring heterozygous sites.
     het_sites = calls.where("h1 <> h2").select("contig", "pos")
     weak = variants.linked_fragments(het_sites, reads, params.minReadCoverageToSupportPhasingBetweenHeterozygousSites).where("split is not null").select("contig", F.col("split").alias("s"))
@@ -88,7 +89,7 @@ def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: D
     last = ends.where("next is null").join(spans.groupBy("contig").agg(F.max("e").alias("e")), "contig").select("contig", "s", "e")
     fragments = settled(frags.select("contig", "s", F.least("e", "r_e").alias("e")).unionByName(last).withColumn("frag", F.col("s")))
     hit = intervals.range_join(calls.withColumn("s", F.col("pos")).withColumn("e", F.col("pos") + 1), fragments).withColumnRenamed("r_frag", "frag")
-    calls = hit.select("contig", "frag", "pos", "ref_ch", "h1", "h2", "gt", "gt_p", "p1", "p2", "depth1", "depth2")
+    calls = hit.select("contig", "frag", "pos", "ref_ch", "h1", "h2", "gt", "gt_p", "gl", "p1", "p2", "depth1", "depth2")
     calls = settled(calls)
     two = calls.groupBy("contig", "frag").agg(F.max("depth1").alias("a"), F.max("depth2").alias("b")).where("a > 0 and b > 0").select("contig", "frag")
     usable = calls.where("ref_ch is not null").join(two, ["contig", "frag"], "left_semi")  # a fragment with one haplotype has tags but no rows

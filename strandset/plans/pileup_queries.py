@@ -80,7 +80,7 @@ def top2_bases(spark, d):
 
 
 @query(with_(READS, OBS, PIV, LONG, RANK, TOP) + f"SELECT contig, pos, ch1, ch2, round(w2 / 255.0, 6) AS second FROM top WHERE w2 / 255.0 >= 2 AND {-math.log(0.025)!r} * (w2 / 255.0) >= 5")
-def het_sites(spark, d):
+def hetsites_of(spark, d):
     return pileup.heterozygous(pileup.site_counts(_obs(spark, d))).where("included").select("contig", "pos", "ch1", "ch2", F.round("second", 6).alias("second"))
 
 
@@ -123,7 +123,7 @@ def base_composition(spark, d):
 AB = "ab AS (SELECT contig, pos, " + ", ".join(f"CAST(sum(CASE WHEN {on} AND ch = {c} THEN w ELSE 0 END) AS BIGINT) AS {x}{c}" for x, on in (("a", "h % 2 = 0"), ("b", "h % 2 <> 0")) for c in K) + f", {REFCH} AS ref_ch FROM obs GROUP BY contig, pos)"
 
 
-def _sites(spark, d):
+def sites_of(spark, d):
     return reference(emission.both_haplotypes(_obs(spark, d), hap1()))
 
 
@@ -137,7 +137,7 @@ def _cost_sql() -> str:
 
 @query(with_(READS, OBS, AB) + f"SELECT contig, CAST(sum({_cost_sql()}) AS BIGINT) AS cost, CAST(count(*) AS BIGINT) AS n_sites FROM ab GROUP BY 1")
 def emission_int(spark, d):
-    return emission.group_cost(_sites(spark, d))
+    return emission.group_cost(sites_of(spark, d))
 
 
 def _lse(terms: list[str]) -> str:
@@ -151,7 +151,7 @@ ROOTS = "rt AS (SELECT *, " + ", ".join(f"{_lse([f'l{x}{c} + ({math.log(HET[r][c
 
 @query(with_(READS, OBS, AB, LOGS, ROOTS) + f"SELECT contig, round(sum({_lse([f'(ra{r} + rb{r} + p{r})' for r in K])}), 4) AS log_p FROM rt GROUP BY 1")
 def emission_logsum(spark, d):
-    return _sites(spark, d).groupBy("contig").agg(F.round(F.sum(emission.exact_log()), 4).alias("log_p"))
+    return sites_of(spark, d).groupBy("contig").agg(F.round(F.sum(emission.exact_log()), 4).alias("log_p"))
 
 
 def _argmax_sql(values: list[str]) -> str:
@@ -166,7 +166,7 @@ CALLS = "cl AS (SELECT *, " + ", ".join(_argmax_sql([f"round(l{x}{c} + {STEP(c)}
 
 @query(with_(READS, OBS, AB, LOGS, ROOTS, TOTAL, CALLS) + "SELECT contig, pos, root, h1, h2, least(h1, h2) * 5 + greatest(h1, h2) AS gt, CAST(" + " + ".join(f"a{c} // 255" for c in K) + " AS BIGINT) AS depth1, CAST(" + " + ".join(f"b{c} // 255" for c in K) + " AS BIGINT) AS depth2 FROM cl")
 def genotype_calls(spark, d):
-    return genotype.calls(_sites(spark, d)).select("contig", "pos", "root", "h1", "h2", "gt", "depth1", "depth2")
+    return genotype.calls(sites_of(spark, d)).select("contig", "pos", "root", "h1", "h2", "gt", "depth1", "depth2")
 
 
 POST = lambda mine, other, h: "exp(CASE " + h + " " + " ".join(f"WHEN {c} THEN " + _lse([f"(r{other}{r} + p{r} + ({math.log(HET[r][c])!r}))" for r in K]) + f" + l{mine}{c}" for c in K) + " END - total)"
@@ -174,7 +174,7 @@ POST = lambda mine, other, h: "exp(CASE " + h + " " + " ".join(f"WHEN {c} THEN "
 
 @query(with_(READS, OBS, AB, LOGS, ROOTS, TOTAL, CALLS) + f"SELECT contig, pos, round({POST('a', 'b', 'h1')}, 6) AS p1, round({POST('b', 'a', 'h2')}, 6) AS p2 FROM cl")
 def haplotype_posteriors(spark, d):
-    return genotype.calls(_sites(spark, d)).select("contig", "pos", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"))
+    return genotype.calls(sites_of(spark, d)).select("contig", "pos", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"))
 
 
 PAIRS = ", ".join("{'k': %d, 'v': %s}" % (i * 5 + j, _lse([f"(p{r} + ({math.log(HET[r][i]) + math.log(HET[r][j])!r}))" for r in K]) + f" + la{i} + lb{j}") for i in K for j in K)
@@ -184,7 +184,7 @@ PAIRS = ", ".join("{'k': %d, 'v': %s}" % (i * 5 + j, _lse([f"(p{r} + ({math.log(
     tp AS (SELECT *, max(v) OVER (PARTITION BY contig, pos) AS m FROM pr), tt AS (SELECT contig, pos, pair, v, m + ln(sum(exp(v - m)) OVER (PARTITION BY contig, pos)) AS t FROM tp)
     SELECT contig, pos, pair, round(greatest(0, least(1000, -10 * (v - t) / {math.log(10)!r})), 4) AS gl FROM tt""")
 def genotype_likelihoods(spark, d):
-    sites = _sites(spark, d)
+    sites = sites_of(spark, d)
     return genotype.likelihoods(sites).select("contig", "pos", F.posexplode("gl").alias("pair", "gl")).withColumn("gl", F.round("gl", 4))
 
 
@@ -198,7 +198,7 @@ def refine_one_round(spark, d):
 
 @query(with_(READS, OBS, AB, LOGS, ROOTS, TOTAL, CALLS) + "SELECT contig, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN h1 = h2 THEN 1.0 ELSE 0.0 END), 9) AS identity, CAST(sum(CASE WHEN h1 <> h2 AND (h1 = 4 OR h2 = 4) THEN 1 ELSE 0 END) AS BIGINT) AS gap_mismatches FROM cl GROUP BY 1")
 def hap_identity(spark, d):
-    c = genotype.calls(_sites(spark, d))
+    c = genotype.calls(sites_of(spark, d))
     return c.groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("h1") == F.col("h2"), 1.0).otherwise(0.0)), 9).alias("identity"), F.count_if((F.col("h1") != F.col("h2")) & ((F.col("h1") == 4) | (F.col("h2") == 4))).alias("gap_mismatches"))
 
 

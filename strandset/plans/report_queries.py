@@ -95,10 +95,10 @@ def arm_ratio_report(spark, d):
     return _rounded(out, "mean_len", "std_len", "mean_ratio", "near_share")
 
 
-@query("WITH m AS (SELECT label, idx - 1 AS idx, avg(v::DOUBLE) AS mean, stddev_pop(v::DOUBLE) AS std FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS idx FROM embeddings) GROUP BY 1, 2) SELECT label, CAST(idx AS INTEGER) AS idx, round(mean, 5) AS mean, round(std, 5) AS std FROM m")
+@query("WITH m AS (SELECT label, idx - 1 AS idx, avg(v::DOUBLE) AS mean, stddev_pop(v::DOUBLE) AS std FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS idx FROM embeddings) GROUP BY 1, 2) SELECT label, CAST(idx AS INTEGER) AS idx, round(mean, 5) AS mean, round(std, 5) AS std, round(mean / sum(mean) OVER (PARTITION BY label, idx // 8), 3) AS normed FROM m")
 def matrix_mean_std(spark, d):
     e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return _rounded(reports.matrix_mean_std(e, "embedding", 8, "label"), "mean", "std", digits=5).drop("normed")
+    return _rounded(reports.matrix_mean_std(e, "embedding", 8, "label"), "mean", "std", digits=5).withColumn("normed", F.round("normed", 3))
 
 
 @query(with_(BED) + "SELECT cls, bp, round(bp / sum(bp) OVER (), 9) AS share FROM (SELECT left(contig, 1) AS cls, CAST(sum(e - s) AS BIGINT) AS bp FROM bed GROUP BY 1)")

@@ -110,11 +110,6 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), F.upper(F.regexp_replace(F.regexp_extract("value", r"^[^\n]*\n([\s\S]*)$", 1), r"\s", "")).alias("seq"))
 
 
-def reference_bases(fasta: DataFrame, sites: DataFrame) -> DataFrame:
-    """sites (contig, pos from 1) with ref, their base."""
-    return sites.join(fasta, "contig", "left").withColumn("ref", F.substring(F.col("seq"), F.col("pos").cast("int"), F.lit(1))).drop("seq")
-
-
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Variants of (gzipped) VCF text, with the first sample's fields as a map, genotype indices (-1 unknown) and phase."""
     x = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)).select(F.split("value", "\t").alias("x"))
@@ -142,7 +137,7 @@ def read_posteriors(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     raw = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
-    x = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.tsv)?$", 1).alias("read_id"), F.split("value", "\t").alias("x"), F.monotonically_increasing_id().alias("line"))
+    x = raw.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.tsv)?$", 1).alias("read_id"), F.split("value", "\t").alias("x"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n")).alias("line"))  # lines rise within a split of a file
     p = x.select("read_id", "line", _part(0).alias("contig"), _part(1).cast("long").alias("pos"), F.transform(F.slice("x", 3, N_SYMBOLS), lambda v: v.cast("double")).alias("p"))
     w = Window.partitionBy("read_id").orderBy("line")
     p = p.withColumn("top", F.max("pos").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("top is null or pos > top")
@@ -228,6 +223,14 @@ def read_manifest(spark: SparkSession, path: str, contig: str | None = None, ref
     return x.select(*(cell(i, d).alias(n) for i, (n, d) in enumerate((("uuid", None), ("url", None), ("contig", contig), ("reference_url", reference), ("params_url", params)))))
 
 
+def manifest_rows(spark: SparkSession, **dims: list[str]) -> DataFrame:
+    """One row for each choice of a value from each list: the configurations that a manifest names."""
+    out = spark.range(1).drop("id")
+    for name, values in dims.items():
+        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return out
+
+
 def read_run_logs(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """file and a number for each named pattern (its first group) in a whole log; null where it doesn't occur."""
     logs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
@@ -241,4 +244,5 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """value: a whole number a line; all of them (a sample is the caller's `sample`)."""
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.trim("value").cast("int").alias("value"))

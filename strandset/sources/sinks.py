@@ -13,17 +13,25 @@ def vcf_header(contigs: list[tuple[str, int]], sample: str = "SMPL1") -> list[st
 
 
 def vcf_lines(rows: DataFrame) -> DataFrame:
-    """value: a line for each row (contig, pos, ref, alt, gt, dp, ac, ps, optional qual)."""
-    qual = F.col("qual").cast("string") if "qual" in rows.columns else F.lit(".")
+    """value: a line for each row (contig, pos, ref, alt, gt, dp, ac, ps, optional qual, gl and mpi)."""
     text = lambda c: F.col(c).cast("string")
-    return rows.select(F.concat_ws("\t", "contig", text("pos"), F.lit("."), "ref", "alt", qual, F.lit("PASS"), F.concat(F.lit("DP="), text("dp"), F.lit(";AC="), text("ac")), F.lit("GT:PS:DP"), F.concat_ws(":", "gt", text("ps"), text("dp"))).alias("value"), "contig", "pos")
+    qual = F.coalesce(text("qual"), F.lit(".")) if "qual" in rows.columns else F.lit(".")
+    names, values = ["GT", "PS", "DP"], ["gt", text("ps"), text("dp")]
+    if "gl" in rows.columns:
+        names.append("GL")
+        values.append(F.coalesce(F.array_join(F.transform("gl", lambda v: F.format_string("%.2f", v)), ","), F.lit(".")))
+    if "mpi" in rows.columns:
+        names.append("MPI")
+        values.append(F.coalesce(text("mpi"), F.lit(".")))
+    return rows.select(F.concat_ws("\t", "contig", text("pos"), F.lit("."), "ref", "alt", qual, F.lit("PASS"), F.concat(F.lit("DP="), text("dp"), F.lit(";AC="), text("ac")), F.lit(":".join(names)), F.concat_ws(":", *values)).alias("value"), "contig", "pos")
 
 
 def write_vcf(rows: DataFrame, path: str, contigs: list[tuple[str, int]]) -> None:
-    """Sorted parts of variant lines, and the header as a file of its own that sorts before them."""
+    """Sorted parts, the header at the head of the first: in the order of their names they are one VCF."""
     spark = rows.sparkSession
-    vcf_lines(rows).repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos").select("value").write.mode("overwrite").text(path)
-    spark.createDataFrame([(x,) for x in vcf_header(contigs)], "value string").coalesce(1).write.mode("overwrite").text(path + ".header")
+    head = spark.createDataFrame([(x, "", i, 0) for i, x in enumerate(vcf_header(contigs))], "value string, contig string, pos long, _body int")
+    every = head.unionByName(vcf_lines(rows).withColumn("_body", F.lit(1)))
+    every.repartitionByRange("_body", "contig", "pos").sortWithinPartitions("_body", "contig", "pos").select("value").write.mode("overwrite").text(path)
 
 
 def sam_lines(alignments: DataFrame, tag: Column | None = None, chunk: Column | None = None) -> DataFrame:

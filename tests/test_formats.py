@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandset.functions import codes, tags
 from strandset.operators import align
+from strandset.plans import phasing
 from strandset.sources import formats, sinks
 
 
@@ -56,7 +57,7 @@ def test_vcf_bed_fasta(spark, tmp_path):
     fa = formats.read_fasta(spark, str(tmp_path / "a.fa"))
     assert {r.contig: r.seq for r in fa.collect()} == {"c1": "ACGTT", "c2": "GGG"}
     sites = spark.createDataFrame([("c1", 3), ("c2", 1), ("c9", 1)], "contig string, pos long")
-    assert {r.contig: r.ref for r in formats.reference_bases(fa, sites).collect()} == {"c1": "G", "c2": "G", "c9": None}
+    assert {r.contig: r.ref_ch for r in phasing.with_reference(sites, fa).collect()} == {"c1": 2, "c2": 2, "c9": None}
 
 
 def test_posteriors_sum_to_255_and_gaps(spark, tmp_path):
@@ -91,7 +92,9 @@ def test_logs_and_summaries(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("c1", 5, "A", "C", "0|1", 9, "4", 5)], "contig string, pos long, ref string, alt string, gt string, dp long, ac string, ps long")
     sinks.write_vcf(rows, str(tmp_path / "o"), [("c1", 10)])
-    assert spark.read.text(str(tmp_path / "o")).first()[0] == "c1\t5\t.\tA\tC\t.\tPASS\tDP=9;AC=4\tGT:PS:DP\t0|1:5:9"
+    lines = [x for f in sorted((tmp_path / "o").glob("part-*.txt")) for x in f.read_text().splitlines()]
+    assert lines[0] == "##fileformat=VCFv4.2" and lines[-2].startswith("#CHROM\t")
+    assert lines[-1] == "c1\t5\t.\tA\tC\t.\tPASS\tDP=9;AC=4\tGT:PS:DP\t0|1:5:9"
     back = formats.read_vcf(spark, str(tmp_path / "o")).first()
     assert (back.a1, back.a2, back.phased) == (0, 1, True)
     a = spark.createDataFrame([("r1", 0, "c1", 3, 60, "1S3M", "ACGT", "*"), ("r2", 0, "c1", 4, 60, "2M", "GG", "AB")], "read_id string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual string")
