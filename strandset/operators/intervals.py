@@ -98,16 +98,30 @@ def coverage_cap(coloured: DataFrame, max_depth: int = 64) -> DataFrame:
     return coloured.where(F.col("colour") < max_depth)
 
 
+def running(at: DataFrame, keys: Sequence[str], width: int = 10_000) -> DataFrame:
+    """keys, pos, d, next, total: the following position, and the sum of d so far, for distinct positions.
+
+    Ordered windows are inside bins of positions; a second one over the bins, a row each, carries
+    sums and first positions from bin to bin, so no task holds a contig's positions.
+    """
+    at = at.select(*keys, "pos", "d", F.floor(F.col("pos") / width).alias("_bin"))
+    over = Window.partitionBy(*keys).orderBy("_bin")
+    bins = at.groupBy(*keys, "_bin").agg(F.sum("d").alias("_t"), F.min("pos").alias("_first"))
+    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"), F.lead("_first").over(over).alias("_after"))
+    w = Window.partitionBy(*keys, "_bin").orderBy("pos")
+    total = F.col("_carry") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return at.join(bins, [*keys, "_bin"]).select(*keys, "pos", "d", F.coalesce(F.lead("pos").over(w), F.col("_after")).alias("next"), total.alias("total"))
+
+
 def segments(df: DataFrame, keys: Sequence[str] = ("contig",)) -> DataFrame:
     """keys, s, e, depth: maximal intervals with a constant set of boundaries, where depth is above 0.
 
-    Starts and ends are summed by position before the ordered pass.
+    Starts and ends are summed by position before the ordered passes, which go by bins.
     """
     df = df.where("s < e")
     events = df.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).cast("long").alias("d")))).alias("x")).select(*keys, "x.*")
     at = events.groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    out = at.select(*keys, F.col("pos").alias("s"), F.lead("pos").over(w).alias("e"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    out = running(at, keys).select(*keys, F.col("pos").alias("s"), F.col("next").alias("e"), F.col("total").alias("depth"))
     return out.where("e is not null and depth > 0")
 
 
@@ -138,8 +152,7 @@ def membership(df: DataFrame, set_index: str, keys: Sequence[str] = ("contig",))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(set_index).cast("int"))
     events = merged.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("pos"), bit.alias("d")), F.struct(F.col("e").alias("pos"), (-bit).alias("d")))).alias("x")).select(*keys, "x.*")
     at = events.groupBy(*keys, "pos").agg(F.sum("d").alias("d"))  # intervals of a set are disjoint, so sums of bits are masks
-    w = Window.partitionBy(*keys).orderBy("pos")
-    out = at.select(*keys, F.col("pos").alias("s"), F.lead("pos").over(w).alias("e"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("bitmap"))
+    out = running(at, keys).select(*keys, F.col("pos").alias("s"), F.col("next").alias("e"), F.col("total").alias("bitmap"))
     return out.where("e is not null and bitmap <> 0")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandset.functions.codes import GAP, N_SYMBOLS, base_char, phred_quality, variant_class
 from strandset.functions.tags import encode
 
-from .intervals import range_join
+from .intervals import range_join, running
 
 
 def _genotype(ref: Column, one: Column, two: Column) -> tuple[Column, Column]:
@@ -90,12 +90,12 @@ def linked_fragments(hets: DataFrame, reads: DataFrame, least: int, width: int =
 
     Where support is below `least`, a new fragment begins at `split`, the middle between the sites.
     """
-    w = Window.partitionBy("contig").orderBy("pos")
-    pairs = hets.select("contig", "pos").withColumn("next", F.lead("pos").over(w))
+    pairs = running(hets.select("contig", "pos", F.lit(0).alias("d")), ["contig"]).select("contig", "pos", "next")
     spans = pairs.where("next is not null").select("contig", F.col("pos").alias("s"), (F.col("next") + 1).alias("e"))
     hit = range_join(spans, reads.select("contig", "s", "e"), width).where("r_s <= s and r_e >= e")
     support = hit.groupBy("contig", F.col("s").alias("pos")).agg(F.count(F.lit(1)).alias("support"))
     out = pairs.join(support, ["contig", "pos"], "left").withColumn("support", F.when(F.col("next").isNotNull(), F.coalesce("support", F.lit(0))))
     weak = F.coalesce(F.col("support") < least, F.lit(False))
     out = out.withColumn("split", F.when(weak, F.expr("pos + (next - pos + 1) div 2")))
-    return out.withColumn("frag", F.coalesce(F.sum(weak.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = running(out.select("contig", "pos", weak.cast("int").alias("d")), ["contig"])
+    return out.join(before.select("contig", "pos", (F.col("total") - F.col("d")).alias("frag")), ["contig", "pos"])

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandset.functions.codes import base_code
@@ -84,7 +84,7 @@ def phase(alignments: DataFrame, fasta: DataFrame, params: Params, posteriors: D
     het_sites = calls.where("h1 <> h2").select("contig", "pos")
     weak = variants.linked_fragments(het_sites, reads, params.minReadCoverageToSupportPhasingBetweenHeterozygousSites).where("split is not null").select("contig", F.col("split").alias("s"))
     cuts = spans.select("contig", "s").union(weak).distinct()
-    ends = cuts.withColumn("next", F.lead("s").over(Window.partitionBy("contig").orderBy("s")))
+    ends = intervals.running(cuts.select("contig", F.col("s").alias("pos"), F.lit(0).alias("d")), ["contig"]).select("contig", F.col("pos").alias("s"), "next")
     frags = intervals.range_join(ends.where("next is not null").select("contig", "s", F.col("next").alias("e")), spans.select("contig", "s", "e"))
     last = ends.where("next is null").join(spans.groupBy("contig").agg(F.max("e").alias("e")), "contig").select("contig", "s", "e")
     fragments = settled(frags.select("contig", "s", F.least("e", "r_e").alias("e")).unionByName(last).withColumn("frag", F.col("s")))

@@ -37,6 +37,18 @@ def test_islands(spark, width, touching):
     assert sorted(map(tuple, intervals.islands(df, touching=touching, width=width).select("contig", "s", "e", "n").collect())) == _islands(rows, touching)
 
 
+@pytest.mark.parametrize("width", [1, 7, 10_000])
+def test_running_sums_go_from_bin_to_bin(spark, width):
+    r = random.Random(2)
+    rows = sorted((c, p, r.randrange(-3, 4)) for c in ("a", "b") for p in r.sample(range(200), 40))
+    got = sorted(map(tuple, intervals.running(spark.createDataFrame(rows, "contig string, pos long, d long"), ["contig"], width).collect()))
+    want, total = [], {}
+    for (c, p, d), after in zip(rows, [*rows[1:], (None, None, None)]):
+        total[c] = total.get(c, 0) + d
+        want.append((c, p, d, after[1] if after[0] == c else None, total[c]))
+    assert got == want
+
+
 def test_range_join_has_each_pair_once(spark):
     rows, df = _intervals(spark, 2)
     got = intervals.range_join(df, df, 9).where("read_id < r_read_id").select("read_id", "r_read_id").collect()
