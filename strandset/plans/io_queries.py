@@ -116,7 +116,7 @@ def vcf_written(spark, d):
     return v.select("contig", "pos", "ref", "alt", F.col("sample")["GT"].alias("gt"), F.col("sample")["PS"].cast("long").alias("ps"), info("DP").cast("long").alias("dp"), info("AC").alias("ac"), F.col("qual").cast("int").alias("qual"), total.alias("gl_sum"), F.size(gl).cast("long").alias("n_gl"), F.col("sample")["MPI"].cast("int").alias("mpi"))
 
 
-@query(with_(READS) + "SELECT contig, greatest(0, s - 50) AS s, s + 50 AS e FROM reads WHERE h % 2 = 0 OR h % 2 = 1")
+@query(with_(READS) + "SELECT contig, greatest(0, s - 50) AS s, s + 50 AS e FROM reads")
 def vcf_margins(spark, d):
     """Intervals around the positions of variants written as VCF."""
     path = folder(spark)

@@ -175,3 +175,15 @@ def gene_lookup(spark, d):
 def quality_histogram(spark, d):
     by = table(spark, d, "events").groupBy(F.floor(F.col("value") / 10).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return by.withColumn("bar", F.expr("repeat('#', cast(least(40, n div 10) as int))"))
+
+
+@query("SELECT o_orderstatus AS status, round(sum(CASE WHEN o_custkey % 3 >= 1 THEN (o_orderkey % 100) / 100.0::DOUBLE ELSE 0 END), 4) AS share FROM orders GROUP BY 1")
+def covered_total(spark, d):
+    o = table(spark, d, "orders").selectExpr("o_orderstatus as status", "o_custkey % 3 as depth", "cast((o_orderkey % 100) / 100.0 as double) as fraction")
+    return _rounded(reports.covered_total(o, "status"), "share", digits=4)
+
+
+@query(with_(READS, BED) + "SELECT contig, CAST(sum(greatest(0, least(e, z) - greatest(s, a))) AS BIGINT) AS bp FROM bed JOIN (SELECT contig, min(s) AS a, max(s) AS z FROM reads GROUP BY 1) USING (contig) GROUP BY ROLLUP (contig)")
+def within_call_range(spark, d):
+    """Bases of the intervals between a contig's first and last call (starts of reads stand for calls)."""
+    return reports.within_call_range(bed(spark, d), reads(spark, d).select("contig", F.col("s").alias("pos")))
