@@ -7,7 +7,7 @@ from strandset.operators import intervals, pileup
 from strandset.sources.driver_tables import observations
 
 N = 1500
-BY_SITE = "bit_slice_counts emission_int emission_logsum expand_positions expected_identity genotype_calls genotype_likelihoods hap_identity haplotype_posteriors hetsites_of hom_mask pileup_counts pileup_pivot read_consensus_filter ref_prior refine_one_round top2_bases".split()
+BY_SITE = "bit_slice_counts emission_int emission_logsum expand_positions expected_identity genotype_calls genotype_likelihoods hap_identity haplotype_posteriors hetsites_of hom_mask pileup_counts pileup_pivot read_consensus_filter ref_prior refine_one_round top2_bases column_read_sets".split()
 
 
 @pytest.fixture(scope="module")
@@ -33,6 +33,14 @@ def test_reads_are_shuffled_not_positions(spark, sparse, name):
     assert sum(n for s, n in shuffled(spark).items() if s not in before) < 8 * N
 
 
+@pytest.mark.parametrize("width", [3, 100])
+def test_columns_have_the_reads_of_each_position(spark, width):
+    rows = [("A", f"r{i % 7}-{i}", 2 * i, 2 * i + 1 + 7 * i % 19) for i in range(40)] + [("B", "x", 3, 3)]
+    got = {p: (tuple(r.read_ids), r.depth) for r in intervals.columns(spark.createDataFrame(rows, "contig string, read_id string, s long, e long"), width).collect() for p in range(r.s, r.e)}
+    want = {p: tuple(sorted(n for _, n, s, e in rows if s <= p < e)) for p in range(120)}
+    assert got == {p: (v, len(v)) for p, v in want.items() if v}
+
+
 @pytest.mark.parametrize("width", [7, 256])
 def test_look_ups_by_bin_equal_a_join(spark, width):
     reads = spark.createDataFrame([("A", f"r{i}", i, 3 * i, 3 * i + 1 + 5 * i % 23) for i in range(60)] + [("B", "x", 1, 5, 5)], "contig string, read_id string, h long, s long, e long")
