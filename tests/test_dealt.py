@@ -33,6 +33,12 @@ def test_reads_are_shuffled_not_positions(spark, sparse, name):
     assert sum(n for s, n in shuffled(spark).items() if s not in before) < 8 * N
 
 
+def test_sets_with_many_equal_intervals(spark):
+    rows = [("A", i % 3, 10 * (i % 5) + 4 * (i % 2), 10 * (i % 5) + 4 * (i % 2) + 4) for i in range(300)]
+    got = intervals.membership(spark.createDataFrame(rows, "contig string, k int, s long, e long").repartition(7), "k").collect()
+    assert {p: r.bitmap for r in got for p in range(r.s, r.e)} == {p: m for p in range(60) if (m := sum(1 << k for k in range(3) if any(j == k and s <= p < e for _, j, s, e in rows)))}
+
+
 @pytest.mark.parametrize("width", [3, 100])
 def test_columns_have_the_reads_of_each_position(spark, width):
     rows = [("A", f"r{i % 7}-{i}", 2 * i, 2 * i + 1 + 7 * i % 19) for i in range(40)] + [("B", "x", 3, 3)]
