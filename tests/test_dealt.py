@@ -59,3 +59,11 @@ def test_look_ups_by_bin_equal_a_join(spark, width):
     rows = got.select(*cols).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted((tuple(r) for r in plain.join(want.select("contig", "pos", "ch1").distinct(), ["contig", "pos"], "left").select(*cols).collect()), key=repr)
     assert any(r.ch1 is None for r in rows) and sorted(map(tuple, pileup.site_counts(obs).collect())) == sorted(map(tuple, pileup.site_counts(plain).collect()))
+
+
+@pytest.mark.parametrize("name", ["hmm_phase", "hmm_posteriors"])
+def test_phasing_shuffles_reads(spark, sparse, name):
+    """Islands, chunks and stitching shuffle reads a few times; observations, some 37 a read, stay where their reads were dealt."""
+    before = set(shuffled(spark))
+    entry.queries()[name](spark, sparse).write.format("noop").mode("overwrite").save()
+    assert sum(n for s, n in shuffled(spark).items() if s not in before) < 20 * N
