@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from strandset.functions.codes import GAP, N_SYMBOLS, base_char, phred_quality, variant_class
 from strandset.functions.tags import encode
+from strandset.sources.shared import settled
 
+from .emission import WEIGHTS
+from .genotype import likelihoods
 from .intervals import range_join, running
 
 
@@ -26,7 +29,7 @@ def _genotype_values(gt: Column, at: Column) -> Column:
     return F.when(gt == "0|0", F.array(first[0])).when(gt == "1|2", F.array(*first, value(ref, two), value(one, two), value(two, two))).otherwise(F.array(*first))
 
 
-def variant_rows(calls: DataFrame, hom_ref: bool = False) -> DataFrame:
+def variant_rows(calls: DataFrame, hom_ref: bool = False, scored: bool = False) -> DataFrame:
     """contig, frag, pos, ref, alt, gt, dp, ac, kind from calls (contig, frag, pos, ref_ch, h1, h2, depth1, depth2).
 
     Positions where either haplotype has a gap, with the position before them as the anchor, make
@@ -36,10 +39,11 @@ def variant_rows(calls: DataFrame, hom_ref: bool = False) -> DataFrame:
 
     Calls with gt_p give rows with qual, of the row's first position; calls with gl (25 values by
     ordered pair of symbols) give rows with gl, the values of the genotypes of the reference and the
-    alternatives in the usual order (00, 01, 11, 02, 12, 22), for an indel at its first gap.
+    alternatives in the usual order (00, 01, 11, 02, 12, 22), for an indel at its first gap. With
+    scored, gl is computed from the calls' weights (a0..a4, b0..b4), for the rows' positions only.
     """
-    has_p, has_gl = "gt_p" in calls.columns, "gl" in calls.columns
-    symbols = F.struct("ref_ch", "h1", "h2", *(["gl"] if has_gl else []))
+    has_p, has_gl = "gt_p" in calls.columns, scored or "gl" in calls.columns
+    symbols = F.struct("ref_ch", "h1", "h2", *(WEIGHTS if scored else ["gl"] if has_gl else []))
     w = Window.partitionBy("contig", "frag").orderBy("pos")
     gap = (F.col("h1") == GAP) | (F.col("h2") == GAP)
     c = calls.withColumn("_gap", gap)
@@ -55,6 +59,8 @@ def variant_rows(calls: DataFrame, hom_ref: bool = False) -> DataFrame:
     alt, gt = _genotype(F.col("ref"), F.col("one"), F.col("two"))
     out = every.withColumn("gt", gt)
     out = out.withColumn("gt", F.coalesce("gt", F.lit("0|0"))) if hom_ref else out.where("gt is not null")
+    if scored:
+        out = likelihoods(out.select("*", F.col("_at.ref_ch").alias("ref_ch"), *(F.col(f"_at.{w}").alias(w) for w in WEIGHTS))).withColumn("_at", F.struct("ref_ch", "_at.h1", "_at.h2", "gl"))
     ac = F.when(F.col("gt") == "0|1", F.col("depth2").cast("string")).when(F.col("gt") == "1|0", F.col("depth1").cast("string")).when(F.col("gt") == "1|1", (F.col("depth1") + F.col("depth2")).cast("string")).when(F.col("gt") == "1|2", F.concat_ws(",", F.col("depth1").cast("string"), F.col("depth2").cast("string"))).otherwise("0")
     alt = F.when(F.col("gt") == "0|0", ".").otherwise(alt)
     scores = ([phred_quality(F.col("gt_p")).alias("qual")] if has_p else []) + ([_genotype_values(F.col("gt"), F.col("_at")).alias("gl")] if has_gl else [])
@@ -89,13 +95,15 @@ def linked_fragments(hets: DataFrame, reads: DataFrame, least: int, width: int =
     """contig, pos, next, support, split, frag: neighbouring heterozygous sites and the reads that cover both.
 
     Where support is below `least`, a new fragment begins at `split`, the middle between the sites.
+    The sites, and the pairs with their support, are settled, as several steps read them.
     """
+    hets = settled(hets.select("contig", "pos"))
     pairs = running(hets.select("contig", "pos", F.lit(0).alias("d")), ["contig"]).select("contig", "pos", "next")
     spans = pairs.where("next is not null").select("contig", F.col("pos").alias("s"), (F.col("next") + 1).alias("e"))
     hit = range_join(spans, reads.select("contig", "s", "e"), width).where("r_s <= s and r_e >= e")
     support = hit.groupBy("contig", F.col("s").alias("pos")).agg(F.count(F.lit(1)).alias("support"))
     out = pairs.join(support, ["contig", "pos"], "left").withColumn("support", F.when(F.col("next").isNotNull(), F.coalesce("support", F.lit(0))))
     weak = F.coalesce(F.col("support") < least, F.lit(False))
-    out = out.withColumn("split", F.when(weak, F.expr("pos + (next - pos + 1) div 2")))
+    out = settled(out.withColumn("split", F.when(weak, F.expr("pos + (next - pos + 1) div 2"))))
     before = running(out.select("contig", "pos", weak.cast("int").alias("d")), ["contig"])
     return out.join(before.select("contig", "pos", (F.col("total") - F.col("d")).alias("frag")), ["contig", "pos"])
