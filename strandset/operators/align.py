@@ -1,10 +1,16 @@
 """Read admission, CIGAR strings, and the positions a read covers."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandset.functions.codes import GAP, base_code
+from strandset.functions.codes import ALPHABET, GAP, base_code
+
+from .intervals import cut
 
 
 def reject_reason(min_length: int = 1, flag_mask: int = 0, min_mapq: int = 0, all_bits: bool = False, length: Column | None = None, cigar: Column | None = None) -> Column:
@@ -76,6 +82,37 @@ def expand(alignments: DataFrame, gaps: bool = True) -> DataFrame:
     return out.where("ch is not null")
 
 
+def aligned(alignments: DataFrame, gaps: bool = True) -> DataFrame:
+    """contig, s, e, text: the symbol that an alignment has at each position from s to e - 1, as expand has it; N or another letter where it has none."""
+    nothing = "-" if gaps else "N"
+    on = F.filter(placed_ops(cigar_ops(F.col("cigar"))), lambda o: o["op"].isin(*"MDN=X"))
+    symbols = lambda o: F.when(o["op"].isin("D", "N"), F.repeat(F.lit(nothing), o["n"].cast("int"))).otherwise(F.rpad(F.substring(F.col("seq"), (o["q"] + 1).cast("int"), o["n"].cast("int")), o["n"].cast("int"), F.lit("N")))
+    out = alignments.select("contig", F.col("pos").alias("s"), F.array_join(F.transform(on, symbols), "").alias("text"))
+    return out.select("contig", "s", (F.col("s") + F.length("text")).alias("e"), "text")
+
+
+def dealt_aligned(texts: DataFrame, width: int) -> DataFrame:
+    """aligned texts cut at bins of positions and dealt by them: alignments are shuffled, not their positions."""
+    parts = cut(texts.withColumn("_from", F.col("s")), width)
+    return parts.withColumn("text", F.substring("text", (F.col("s") - F.col("_from") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int"))).drop("_from").repartition("contig", "_bin")
+
+
+SYMBOL = np.full(256, -1)
+for _code, _letter in enumerate(ALPHABET):
+    SYMBOL[[ord(_letter), ord(_letter.lower())]] = _code
+
+
+def observed_text(rows: pa.RecordBatch) -> Iterator[tuple]:
+    """Observations of a batch of aligned texts as arrays, for pileup.summed; their weight is 255."""
+    s, e = rows.column("s").to_numpy(), rows.column("e").to_numpy()
+    n = e - s
+    row = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(row)) + (s - np.cumsum(n) + n)[row]
+    ch = SYMBOL[np.frombuffer("".join(rows.column("text").to_pylist()).encode("ascii", "replace"), np.uint8)]
+    known = np.flatnonzero(ch >= 0)
+    yield row[known], pos[known], ch[known], np.full(len(known), 255.0)
+
+
 def pairwise_identity(obs: DataFrame, limit: int = 100) -> DataFrame:
     """read_a, read_b, shared, identity for pairs of the first `limit` reads of each contig (a report on a few reads)."""
     from pyspark.sql import Window

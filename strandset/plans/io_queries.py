@@ -6,10 +6,10 @@ import math
 from pyspark.sql import functions as F
 
 from strandset.functions import bits, codes, tags
-from strandset.operators import align, genotype, stitch, variants
+from strandset.operators import align, genotype, pileup, stitch, variants
 from strandset.sources import formats, sinks
 from strandset.sources.driver_tables import BED, READS, bed, reads, table, with_
-from strandset.sources.shared import folder
+from strandset.sources.shared import folder, settled
 
 from .phase_queries import BASE, FRAG, TAGS, VR, split_tag_sets
 from .phasing import with_reference
@@ -48,7 +48,9 @@ def sam_written(spark, d):
     SELECT contig, pos, CAST(x - 1 AS INTEGER) AS ch, CAST(count(*) AS BIGINT) AS n, CAST(255 * count(*) AS BIGINT) AS weight FROM b WHERE x > 0 GROUP BY 1, 2, 3""")
 def sam_expanded(spark, d):
     """Positions that the CIGAR strings of written alignments cover."""
-    return align.expand(_written_sam(spark, d)).groupBy("contig", "pos", "ch").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("weight"))
+    parts = align.dealt_aligned(align.aligned(_written_sam(spark, d)), pileup.WIDTH)
+    counts = pileup.by_symbol(pileup.summed(parts, align.observed_text, *(f"n{c}" for c in range(codes.N_SYMBOLS))))
+    return counts.select("contig", "pos", "ch", F.expr("weight div 255").alias("n"), "weight")
 
 
 @query(with_(READS, ALN) + "SELECT '@' || read_id || chr(10) || t || chr(10) || '+' || chr(10) || repeat('\"', length(t)) AS value FROM (SELECT read_id, CASE WHEN e - s < 8 THEN seq ELSE substr(seq, 3) END AS t FROM aln)")
@@ -103,11 +105,12 @@ def vcf_written(spark, d):
     """Variants with quality, likelihoods and chunk of origin as one VCF, read back."""
     path = folder(spark)
     s = sites_of(spark, d)
-    c = genotype.likelihoods(genotype.calls(s)).withColumn("frag", F.expr("pos div 200"))
+    c = genotype.calls(s).withColumn("frag", F.expr("pos div 200"))
     # Qualities are compared exactly, so probabilities are set apart from the steps of the scale first.
     c = c.withColumn("gt_p", F.when(F.col("gt_p") >= 1 - 1e-11, 1.0).otherwise(1 - (1 - F.col("gt_p")) * F.lit(10 ** (-1e-7))))
-    rows = variants.phased(variants.variant_rows(c)).withColumn("mpi", F.expr("frag % 7"))
-    sizes = [(x.contig, x.n) for x in s.groupBy("contig").agg(F.max("pos").alias("n")).orderBy("contig").collect()]  # a header line each
+    # Parts are sorted by ranges, for which rows are read twice, so they are settled.
+    rows = settled(variants.phased(variants.variant_rows(c, scored=True)).withColumn("mpi", F.expr("frag % 7")))
+    sizes = [(x.contig, x.n) for x in reads(spark, d).where("s < e").groupBy("contig").agg(F.max(F.col("e") - 1).alias("n")).orderBy("contig").collect()]  # a header line each
     sinks.write_vcf(rows, path, sizes)
     v = formats.read_vcf(spark, path)
     gl = F.transform(F.split(F.col("sample")["GL"], ","), lambda x: x.cast("double"))
