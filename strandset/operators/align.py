@@ -1,6 +1,7 @@
 """Read admission, CIGAR strings, and the positions a read covers."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from strandset.functions.codes import ALPHABET, GAP, base_code
 
 from .intervals import cut
 
+CIGAR_OP = re.compile("([0-9]+)([MIDNSHP=X])")
+
 
 def reject_reason(min_length: int = 1, flag_mask: int = 0, min_mapq: int = 0, all_bits: bool = False, length: Column | None = None, cigar: Column | None = None) -> Column:
     """The first test that a read fails, or `admitted`: short, no_cigar, flag, mapq."""
@@ -85,9 +88,23 @@ def expand(alignments: DataFrame, gaps: bool = True) -> DataFrame:
 def aligned(alignments: DataFrame, gaps: bool = True) -> DataFrame:
     """contig, s, e, text: the symbol that an alignment has at each position from s to e - 1, as expand has it; N or another letter where it has none."""
     nothing = "-" if gaps else "N"
-    on = F.filter(placed_ops(cigar_ops(F.col("cigar"))), lambda o: o["op"].isin(*"MDN=X"))
-    symbols = lambda o: F.when(o["op"].isin("D", "N"), F.repeat(F.lit(nothing), o["n"].cast("int"))).otherwise(F.rpad(F.substring(F.col("seq"), (o["q"] + 1).cast("int"), o["n"].cast("int")), o["n"].cast("int"), F.lit("N")))
-    out = alignments.select("contig", F.col("pos").alias("s"), F.array_join(F.transform(on, symbols), "").alias("text"))
+
+    def text(cigar: str | None, seq: str | None) -> str:
+        out, at, seq = [], 0, seq or ""
+        for n, op in CIGAR_OP.findall(cigar or ""):
+            n = int(n)
+            if op in "M=X":
+                out.append(seq[at : at + n].ljust(n, "N"))
+            elif op in "DN":
+                out.append(nothing * n)
+            at += n if op in "MIS=X" else 0
+        return "".join(out)
+
+    def texts(cigars: pa.Array, seqs: pa.Array) -> pa.Array:
+        return pa.array(map(text, cigars.to_pylist(), seqs.to_pylist()), pa.string(), size=len(cigars))
+
+    made = F.arrow_udf(texts, "string").asNondeterministic()(F.col("cigar"), F.col("seq"))  # once, though a filter reads its length
+    out = alignments.select("contig", F.col("pos").alias("s"), made.alias("text"))
     return out.select("contig", "s", (F.col("s") + F.length("text")).alias("e"), "text")
 
 

@@ -23,7 +23,7 @@ ALN = f"""aln AS (SELECT contig, read_id, h, s, e, flag, mapq, {CIGAR} AS cigar,
 
 
 def _alignments(spark, d):
-    seq = f"array_join(transform(sequence(0L, {BASES} - 1), i -> substr('ACGTN', 1 + cast((h * 3 + i * 7) % 5 as int), 1)), '')"
+    seq = f"substr(repeat('AGNCT', cast(({BASES}) div 5 + 2 as int)), 1 + cast(h * 4 % 5 as int), cast({BASES} as int))"  # symbol (3 h + 7 i) % 5 of ACGTN at place i
     return reads(spark, d).where("s < e").selectExpr("read_id", "flag", "contig", "s as pos", "mapq", f"{CIGAR} as cigar", f"{seq} as seq", "'*' as qual", "h")
 
 
